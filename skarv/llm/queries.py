@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarv.llm import encoding, leakage, mixing, splitting
+from skarv.llm import addresses, encoding, leakage, matching, mixing, splitting
 from skarv.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.pairs(table(spark, sf_dir, "map_places"), table(spark, sf_dir, "registry")).select("organisation_number", "place_id").distinct()
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each matched place with the rule that resolved it and its confidence."""
+    return matching.match(table(spark, sf_dir, "map_places"), table(spark, sf_dir, "registry"))
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address, none = F.col("forretningsadresse"), F.lit(None).cast("string")
+    registry = table(spark, sf_dir, "registry").select(F.col("row_id").alias("record"), address["adresse"].alias("address"), address["postnummer"].alias("code"), address["poststed"].alias("town"))
+    claims = table(spark, sf_dir, "claims").select(F.col("claim_id").alias("record"), "address", none.alias("code"), none.alias("town"))
+    return registry.unionByName(claims)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.same_location(addresses.locate(_addresses(spark, sf_dir), "record", "address", "code", "town"))
+
+
+def p6_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records each location has."""
+    return addresses.locate(_addresses(spark, sf_dir), "record", "address", "code", "town").groupBy("location").agg(F.count_distinct("record").alias("records"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_damage(table(spark, sf_dir, "claims"), "claim_id", ("name", "purpose")).select("claim_id", "column_name").distinct()
 
@@ -52,5 +77,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_restored, p8_found, p8_report, p9_found, p9_mixture, p9_report, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p6_found, p6_locations, p7_found, p7_restored, p8_found, p8_report, p9_found, p9_mixture, p9_report, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
