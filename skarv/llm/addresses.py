@@ -28,18 +28,22 @@ KINDS = {
     "alleen": ("alleen", "alle", "al"),
     "svingen": ("svingen", "sving", "svg", "sv"),
     "plassen": ("plassen", "plass", "pl"),
-    "stien": ("stien", "sti", "st"),
+    "stien": ("stien", "sti"),
     "torget": ("torget", "torg"),
 }
 _WRITTEN = sorted(((form, kind) for kind, forms in KINDS.items() for form in forms), key=lambda x: -len(x[0]))
+#: An ending that may be short for one kind, or for another after an s of the stem.
+EITHER = "sv"
 _LONG = [(forms[0], kind) for kind, forms in KINDS.items()] + [("vegen", "veien"), ("gaten", "gata")]
 _SPLIT_KIND = frozenset(form for form, _ in _WRITTEN if len(form) > 2)
-#: A street with at least this many house numbers in a town is written as it is meant.
-ESTABLISHED = 3
+#: Two spellings are two streets if either has at least this many house numbers
+#: in the town and neither this many times as many as the other.
+ESTABLISHED, OUTNUMBERED = 3, 8
 #: A town written this many times as often as one that is nearly it is meant by it.
 RARE = 10
 
-_FOLD = (("æ", "ae"), ("ø", "o"), ("å", "a"), ("ä", "a"), ("ö", "o"), ("aa", "a"), ("é", "e"), ("ô", "o"), ("ü", "u"))
+#: Letters that are also written as two become one, whichever way they are written.
+_FOLD = (("æ", "e"), ("ä", "e"), ("ae", "e"), ("ø", "o"), ("ö", "o"), ("oe", "o"), ("å", "a"), ("aa", "a"), ("é", "e"), ("ô", "o"), ("ü", "u"))
 _COUNTRY = re.compile(r"(?:^|[\s,;/|-])(?:norway|norge|noreg|no|nor|n)\s*$")
 #: A person or firm up to the next separator; where none follows before a number, one word.
 _CARE = re.compile(r"\bc/o\b(?:[^,;\n|]*?forvaltning|[^,;\n|/\d]*?(?=\s[/-]\s|[,;\n|]|$)|\s*\S+)|(?:^|(?<=[\s,;/|]))(?:v/|attn?\b\.?)(?:[^,;/\n|\d]*?(?=\s[/-]\s|[,;/\n|])|\s*\S+)")
@@ -65,7 +69,7 @@ def _kind(street: str) -> tuple[str, str, int]:
     """``(stem, kind, letters the kind is told by)`` of a street in one word; the kind is empty if it can't be told."""
     for form, kind in _WRITTEN:
         if street.endswith(form) and len(street) >= len(form) + 3:
-            return street[: -len(form)], kind, len(form)
+            return street[: -len(form)], form if form == EITHER else kind, len(form)
     for form, kind in _LONG:  # a slip within the ending
         for length in (len(form), len(form) - 1, len(form) + 1):
             if len(street) > length + 2 and near(street[-length:], form, 1):
@@ -223,6 +227,24 @@ def _one_street(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x, y, 1 if min(len(x), len(y)) < 8 else 2) for x, y in zip(a, b)], dtype=bool)
 
 
+def _settled(placed: DataFrame) -> DataFrame:
+    """``placed`` with each ``EITHER`` read as the kind that other records of the town have.
+
+    Both plausible forms are expanded; the one that more records write out
+    holds, by the whole stem or else by its last four letters.
+    """
+    clear, open_ = placed.where(F.col("kind") != EITHER), placed.where(F.col("kind") == EITHER)
+    whole = clear.where("form = 'street'").groupBy("place", "stem", "kind").agg(F.count("*").alias("n"))
+    roots = whole.withColumn("stem", F.right("stem", F.lit(4))).groupBy("place", "stem", "kind").agg(F.sum("n").alias("n"))
+    spellings = open_.select("place", "stem").distinct()
+    both = spellings.select("place", "stem", F.inline(F.array(F.struct(F.col("stem").alias("as_stem"), F.lit("svingen").alias("as_kind")), F.struct(F.concat("stem", F.lit("s")).alias("as_stem"), F.lit("veien").alias("as_kind")))))
+    told = both.join(whole.select("place", F.col("stem").alias("as_stem"), F.col("kind").alias("as_kind"), F.col("n").alias("_whole")), ["place", "as_stem", "as_kind"], "left")
+    told = told.withColumn("_root", F.right("as_stem", F.lit(4))).join(roots.select("place", F.col("stem").alias("_root"), F.col("kind").alias("as_kind"), F.col("n").alias("_roots")), ["place", "_root", "as_kind"], "left")
+    rank = F.struct(F.coalesce("_whole", F.lit(0)), F.coalesce("_roots", F.lit(0)), F.col("as_kind"))
+    best = told.groupBy("place", "stem").agg(F.max_by(F.struct("as_stem", "as_kind"), rank).alias("_best"))
+    return clear.unionByName(open_.join(best, ["place", "stem"]).withColumn("stem", F.col("_best.as_stem")).withColumn("kind", F.col("_best.as_kind")).drop("_best").select(clear.columns))
+
+
 def locate(rows: DataFrame, key: str, address: str = "address", code: str | None = None, town: str | None = None) -> DataFrame:
     """``key`` and ``location``, a hash that the records of one location share.
 
@@ -233,8 +255,8 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
       can be told, have no location and are left out. Repeated records share
       theirs. Addresses are read whole.
     * Only spellings of streets are compared, each once however many records
-      write it; spellings of two streets that each have ``ESTABLISHED`` house
-      numbers in the town aren't taken for one another.
+      write it; spellings that are two streets by ``ESTABLISHED`` aren't taken for one
+      another.
     """
     none = F.lit(None).cast("string")
     texts = rows.select(F.col(key).alias("_key"), F.col(address).alias("_address"), (F.col(code) if code else none).alias("_code"), (F.col(town) if town else none).alias("_town")).where("_address is not null")
@@ -243,16 +265,19 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
     known = town_names(read)
     placed = read.withColumn("place", place_in_town(F.col("code"), F.col("town"), known)).where("place is not null")
     spot = ["place", "form", "stem", "kind", "number", "letter"]
-    placed = cut(placed.select("_key", *spot))
+    placed = _settled(cut(placed.select("_key", *spot))).select("_key", *spot)
+    placed = cut(placed)
 
     spelled = placed.groupBy(*spot).agg(F.count("*").alias("n"))
-    houses = spelled.groupBy("place", "form", "stem", "kind").agg((F.count_distinct("number", "letter") >= ESTABLISHED).alias("_established"))
+    houses = spelled.groupBy("place", "form", "stem", "kind").agg(F.count_distinct("number", "letter").alias("_houses"))
     streets = spelled.where("form = 'street'").join(houses, ["place", "form", "stem", "kind"])
     streets = streets.withColumn("_id", F.xxhash64(*spot))
-    hashed = streets.select("_id", "stem", "_established", F.explode(_forms(F.col("stem"))).alias("_form"), "place", "kind", "number", "letter")
-    hashed = hashed.select("_id", "stem", "_established", F.xxhash64("place", "kind", "number", "letter", "_form").alias("_hash"))
+    hashed = streets.select("_id", "stem", "_houses", F.explode(_forms(F.col("stem"))).alias("_form"), "place", "kind", "number", "letter")
+    hashed = hashed.select("_id", "stem", "_houses", F.xxhash64("place", "kind", "number", "letter", "_form").alias("_hash"))
     a, b = hashed.alias("a"), hashed.alias("b")
-    pairs = a.join(b, (F.col("a._hash") == F.col("b._hash")) & (F.col("a._id") < F.col("b._id")) & ~(F.col("a._established") & F.col("b._established")))
+    fewer, more = F.least("a._houses", "b._houses"), F.greatest("a._houses", "b._houses")
+    two_streets = (fewer >= ESTABLISHED) & (fewer * OUTNUMBERED > more)
+    pairs = a.join(b, (F.col("a._hash") == F.col("b._hash")) & (F.col("a._id") < F.col("b._id")) & ~two_streets)
     pairs = pairs.select(F.col("a._id").alias("a"), F.col("b._id").alias("b"), F.col("a.stem").alias("_x"), F.col("b.stem").alias("_y")).distinct()
     links = pairs.where(_one_street("_x", "_y")).select("a", "b")
     classes = components(links)
