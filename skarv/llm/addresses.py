@@ -38,7 +38,7 @@ _LONG = [(forms[0], kind) for kind, forms in KINDS.items()] + [("vegen", "veien"
 _SPLIT_KIND = frozenset(form for form, _ in _WRITTEN if len(form) > 2)
 #: Two spellings are two streets if either has at least this many house numbers
 #: in the town and neither this many times as many as the other.
-ESTABLISHED, OUTNUMBERED = 3, 8
+ESTABLISHED, OUTNUMBERED = 3, 4
 #: A town written this many times as often as one that is nearly it is meant by it.
 RARE = 10
 

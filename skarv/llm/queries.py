@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarv.llm import addresses, encoding, leakage, matching, mixing, splitting
+from skarv.llm import addresses, boilerplate, encoding, leakage, matching, mixing, splitting
 from skarv.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.body_lines(table(spark, sf_dir, "page_contents"))
+
+
+def p1_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's body as text; a page without one is left out."""
+    pages = table(spark, sf_dir, "page_contents")
+    lines = boilerplate.body_lines(pages).groupBy("page_id").agg(F.sort_array(F.collect_list("line_no")).alias("_lines"))
+    split = F.split("text", "\n", -1)
+    return pages.join(lines, "page_id").select("page_id", F.array_join(F.transform("_lines", lambda n: F.get(split, (n - 1).cast("int"))), "\n").alias("body"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.pairs(table(spark, sf_dir, "map_places"), table(spark, sf_dir, "registry")).select("organisation_number", "place_id").distinct()
 
@@ -77,5 +89,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p6_found, p6_locations, p7_found, p7_restored, p8_found, p8_report, p9_found, p9_mixture, p9_report, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bodies, p3_found, p3_matches, p6_found, p6_locations, p7_found, p7_restored, p8_found, p8_report, p9_found, p9_mixture, p9_report, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
