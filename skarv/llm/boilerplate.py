@@ -233,81 +233,104 @@ def style_tree(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, nodes.select("host", "node", presentation.alias("presentation"))
 
 
-_TOLD = "page_id long, host string, line_no long, text long, node long, branch int, named boolean, teaser boolean, heading boolean, flat boolean, kept boolean, main boolean, body boolean, first boolean"
+_TOLD = "page_id long, line_no long, host string, text long, node long, branch int, named boolean, teaser boolean, heading boolean, flat boolean, kept boolean, main boolean, body boolean, first boolean"
 
 
-def _branches(frame: pd.DataFrame) -> pd.DataFrame:
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+def _each_page(lines: DataFrame, decide, schema: str) -> DataFrame:
+    """``decide`` over each page's columns as arrays in the order of its lines.
+
+    A page is gathered whole, never a host. Nulls have been filled, since
+    gathering leaves them out.
+    """
+    columns = [c for c in lines.columns if c != "page_id"]
+    gathered = lines.groupBy("page_id").agg(*(F.collect_list(c).alias(c) for c in columns))
+    wanted = _names(schema)
+
+    def run(batches):
+        for frame in batches:
+            made: dict[str, list] = {c: [] for c in wanted}
+            for row in frame.itertuples(index=False):
+                page = dict(zip(frame.columns, row))
+                order = np.argsort(np.asarray(page["line_no"]), kind="stable")
+                out = decide({c: np.asarray(page[c])[order] for c in columns})
+                out["page_id"] = np.full(len(out["line_no"]), page["page_id"], dtype=np.int64)
+                for c in wanted:
+                    made[c].append(out[c])
+            yield pd.DataFrame({c: np.concatenate(parts) if parts else [] for c, parts in made.items()})
+
+    return gathered.mapInPandas(run, schema)
+
+
+def _branches(page: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """One page: its branches' importance, what is removed, and the branches that name it."""
-    frame = frame.sort_values("line_no")
-    if frame["branch"].isna().all():
-        return frame.assign(flat=True, kept=True, main=False, body=False, first=False)
-    number = frame["branch"].fillna(-1).to_numpy().astype(int)
-    length = frame["length"].to_numpy()
-    line = np.where(frame["size"] >= ENOUGH_PAGES, frame["own"], np.minimum(frame["own"], frame["web"])).clip(0, 1)
+    number, length, node = page["branch"], page["length"], page["node"]
+    n = len(number)
+    no, yes = np.zeros(n, dtype=bool), np.ones(n, dtype=bool)
+    if (number < 0).all():
+        return page | {"flat": yes, "kept": yes, "main": no, "body": no, "first": no}
+    named, teaser = page["named"], page["teaser"]
+    line = np.where(page["size"] >= ENOUGH_PAGES, page["own"], np.minimum(page["own"], page["web"])).clip(0, 1)
     first = np.concatenate(([True], number[1:] != number[:-1]))
-    importance, mass = {}, {}
-    for n in set(number):
-        inside = number == n
-        content = float((line[inside] * length[inside]).sum() / length[inside].sum())
-        presentation = float(np.nan_to_num(frame["presentation"].to_numpy()[inside].astype(float), nan=1.0).mean())
-        importance[n] = CONTENT * content + (1 - CONTENT) * presentation * content
-        mass[n] = float((line[inside] * length[inside]).sum())
-    named, teaser = frame["named"].to_numpy(dtype=bool), frame["teaser"].to_numpy(dtype=bool)
-    naming = [n for n in sorted(set(number)) if n >= 0 and named[number == n].any()]
-    telling = [n for n in naming if importance[n] >= REMOVED] or naming
-    body = max(telling, key=lambda n: (not teaser[number == n].any(), named[number == n][0], mass[n], -n)) if naming else None
-    node = frame["node"].to_numpy()
-    own = None if body is None else node[number == body][0]
-    kept = np.array([n == body or importance[n] >= REMOVED for n in number])
-    alike = np.array([own is not None and x is not pd.NA and x == own for x in node]) & kept
-    return frame.assign(flat=False, kept=kept, main=number == (-2 if body is None else body), body=alike, first=first)
-
-
-def _page_body(frame: pd.DataFrame) -> pd.DataFrame:
+    inside = {int(k): number == k for k in np.unique(number)}
+    mass = {k: float((line[i] * length[i]).sum()) for k, i in inside.items()}
+    importance = {k: mass[k] / float(length[i].sum()) * (CONTENT + (1 - CONTENT) * float(page["presentation"][i].mean())) for k, i in inside.items()}
+    naming = [k for k, i in inside.items() if k >= 0 and named[i].any()]
+    telling = [k for k in naming if importance[k] >= REMOVED] or naming
+    body = max(telling, key=lambda k: (not teaser[inside[k]].any(), named[inside[k]][0], mass[k], -k)) if naming else -2
+    kept = np.array([k == body or importance[k] >= REMOVED for k in number.tolist()])
+    alike = (node == node[number == body][0]) & kept if body >= 0 else no
+    return page | {"flat": no, "kept": kept, "main": number == body, "body": alike, "first": first}
+
+
+def _page_body(page: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The numbers of the body's lines of one page."""
-    frame = frame.sort_values("line_no").reset_index(drop=True)
-    box = frame["box"].fillna(0).to_numpy() > frame["text_body"].fillna(0).to_numpy()
-    box_heading = (frame["box_first"].fillna(0).to_numpy() > frame["text_body"].fillna(0).to_numpy()) & frame["heading"].to_numpy(dtype=bool)
-    named, teaser = frame["named"].to_numpy(dtype=bool), frame["teaser"].to_numpy(dtype=bool)
-    keep = np.zeros(len(frame), dtype=bool)
-    if not frame["flat"].iloc[0]:
-        number = frame["branch"].fillna(-1).to_numpy().astype(int)
-        body = frame["body"].to_numpy(dtype=bool)
+    box = page["box"] > page["text_body"]
+    heading, named, teaser, number = page["heading"], page["named"], page["teaser"], page["branch"]
+    box_heading = (page["box_first"] > page["text_body"]) & heading
+    n = len(number)
+    keep = np.zeros(n, dtype=bool)
+    if not page["flat"][0]:
+        body = page["body"]
         if not body.any():  # the page isn't named: its host's body node, less what boxes hold
-            body = frame["kept"].to_numpy(dtype=bool) & (frame["body_node"].fillna(0).to_numpy() > 0)
-            body &= np.array([n >= 0 and not box[number == n].all() for n in number])
-        for n in set(number[body]):
-            inside = number == n
-            lines = np.flatnonzero(inside)
-            if not frame["main"].iloc[lines[0]] and (box_heading[lines[0]] or teaser[lines].any()):
-                continue
-            keep[lines] = True
-        if keep.any() and not named[keep].any() and not (frame["own"].fillna(1).to_numpy()[keep] > 0.5).any():
+            body = page["kept"] & (page["body_node"] > 0) & (number >= 0)
+            for k in np.unique(number[body]):
+                if box[number == k].all():
+                    body = body & (number != k)
+        for k in np.unique(number[body]):
+            lines = number == k
+            if page["main"][lines][0] or not (box_heading[lines][0] or teaser[lines].any()):
+                keep |= lines
+        if keep.any() and not named[keep].any() and not (page["own"][keep] > 0.5).any():
             keep[:] = False
+        return {"line_no": page["line_no"][keep]}
+    ends = box | teaser
+    starts = np.flatnonzero(named & ~teaser).tolist()
+
+    def run_from(i: int) -> int:
+        after = np.flatnonzero(ends[i + 1 :])
+        return int(after[0]) + i + 1 if len(after) else n
+
+    if starts:  # a menu may name the page too
+        start = max(starts, key=lambda i: (run_from(i) - i, -i))
     else:
-        starts = np.flatnonzero(named & ~teaser)
-        i = int(starts[0]) if len(starts) else None
-        if len(starts) > 1:  # a menu may name the page too
-            i = int(max(starts, key=lambda s: (next((k for k in range(s + 1, len(frame)) if box[k] or teaser[k]), len(frame)) - s, -s)))
-        if i is None:
-            waiting = False
-            for k in range(len(frame)):
-                if box_heading[k]:
-                    waiting = True
-                elif box[k] or teaser[k]:
-                    waiting = False
-                elif not waiting or frame["heading"].iloc[k]:
-                    i = k
-                    break
-        if i is not None:
-            keep[i] = True
-            for k in range(i + 1, len(frame)):
-                if box[k] or teaser[k]:
-                    break
-                keep[k] = True
-            if keep.sum() == 1 and not named[keep].any():
-                keep[:] = False
-    return frame.loc[keep, ["page_id", "line_no"]]
+        start, waiting = None, False
+        for i in range(n):
+            if box_heading[i]:
+                waiting = True
+            elif ends[i]:
+                waiting = False
+            elif not waiting or heading[i]:
+                start = i
+                break
+    if start is not None:
+        keep[start : run_from(start)] = True
+        if keep.sum() == 1 and not starts:
+            keep[:] = False
+    return {"line_no": page["line_no"][keep]}
 
 
 def body_lines(pages: DataFrame) -> DataFrame:
@@ -323,8 +346,8 @@ def body_lines(pages: DataFrame) -> DataFrame:
     """
     lines = cut(read_lines(pages))
     own, nodes = style_tree(lines)
-    weighed = lines.join(own, ["host", "text"]).join(nodes, ["host", "node"], "left")
-    told = cut(weighed.groupBy("page_id").applyInPandas(lambda f: _branches(f)[[c.split(" ")[0] for c in (x.strip() for x in _TOLD.split(","))]], _TOLD))
+    weighed = lines.join(own, ["host", "text"]).join(nodes, ["host", "node"], "left").drop("url", "style").na.fill({"node": 0, "branch": -1, "presentation": 1.0})
+    told = cut(_each_page(weighed, _branches, _TOLD))
 
     # What stands in bodies and what in boxes, over all pages that tell.
     telling = told.where(~F.col("flat")).join(told.where("body").select("page_id").distinct(), "page_id", "left_semi")
@@ -332,5 +355,6 @@ def body_lines(pages: DataFrame) -> DataFrame:
         F.count_if(F.col("body") & ~F.col("first")).alias("text_body"), F.count_if(~F.col("body")).alias("box"), F.count_if(~F.col("body") & F.col("first")).alias("box_first")
     ).where("box > 0 or text_body > 1")
     bodies = told.where("body and named").groupBy("host", "node").agg(F.count("*").alias("body_node"))
-    known = told.join(texts, "text", "left").join(bodies, ["host", "node"], "left").join(own.select("host", "text", "own"), ["host", "text"], "left")
-    return known.groupBy("page_id").applyInPandas(_page_body, "page_id long, line_no long")
+    known = told.join(texts, "text", "left").join(bodies, ["host", "node"], "left").join(own.select("host", "text", "own"), ["host", "text"])
+    known = known.drop("host", "text", "node", "first").na.fill(0, ["text_body", "box", "box_first", "body_node"])
+    return _each_page(known, _page_body, "page_id long, line_no long")
