@@ -59,6 +59,15 @@ def _one_json_value(raw: Column) -> Column:
     return F.when((F.size(listed) == 1) & kept.isNotNull() & kept.getField("_corrupt_record").isNull(), listed)
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each computed once a row.
+
+    Neighbouring projections are merged, and an expression used five times
+    would then be computed five times; they aren't merged across a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def _headers(rows: DataFrame) -> DataFrame:
     """One row a csv batch: its delimiter, number of columns and the position of each known field."""
     first = rows.where((F.col("fmt") == "csv") & (F.col("input_position") == 0)).groupBy("batch_id").agg(F.min_by("raw", "row_id").alias("_head"))
@@ -87,11 +96,11 @@ def read_permissively(rows: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("raw"), F.lit(""))
     raw = F.when(F.col("input_position") == 0, F.regexp_replace(raw, "^﻿", "")).otherwise(raw)
     delimiter = F.coalesce(F.col("_delimiter"), F.lit(DELIMITERS[0]))
-    joined = joined.withColumn("_raw", raw).withColumn("_bad_quoting", is_csv & ~_by_delimiter(delimiter, lambda d: _quoted_well(F.col("_raw"), d)))
+    joined = _once(joined, _raw=raw)
+    joined = _once(joined, _bad_quoting=is_csv & ~_by_delimiter(delimiter, lambda d: _quoted_well(F.col("_raw"), d)), _json=F.when(F.col("fmt") == "jsonl", _one_json_value(F.col("_raw"))))
     csv = F.when(is_csv & ~F.col("_bad_quoting"), _by_delimiter(delimiter, lambda d: _fields(F.col("_raw"), d)))
-    parsed = joined.withColumn("_fields", csv).withColumn("_json", F.when(F.col("fmt") == "jsonl", _one_json_value(F.col("_raw"))))
     shape = F.substring(F.ltrim("_raw"), 1, 1)
-    parsed = parsed.withColumn("_object", F.when(shape == "{", F.from_json(F.get("_json", F.lit(0)), JSON_SCHEMA, STRICT)))
+    parsed = _once(joined, _fields=csv, _object=F.when(shape == "{", F.from_json(F.get("_json", F.lit(0)), JSON_SCHEMA, STRICT)))
     bare = F.when(shape == "[", F.lit("")).otherwise(F.get("_json", F.lit(0)))
 
     def value(field: str) -> Column:
@@ -103,7 +112,9 @@ def read_permissively(rows: DataFrame) -> DataFrame:
 
     parsed = parsed.withColumn("_bad_json", (F.col("fmt") == "jsonl") & F.col("_json").isNull())
     parsed = parsed.withColumn("_bad_count", is_csv & ~F.col("_bad_quoting") & ~F.size("_fields").eqNullSafe(F.col("_columns")))
-    return parsed.select(*joined_columns(rows), "_bad_quoting", "_bad_json", "_bad_count", *(value(f).alias(f"_{f}") for f in NAMES)).withColumn("_corrupt", F.when(F.col("_bad_quoting") | F.col("_bad_json") | F.col("_bad_count"), F.col("raw")))
+    read = _once(parsed, **{f"_{f}": value(f) for f in NAMES})
+    corrupt = F.when(F.col("_bad_quoting") | F.col("_bad_json") | F.col("_bad_count"), F.col("raw"))
+    return read.select(*joined_columns(rows), "_bad_quoting", "_bad_json", "_bad_count", *(f"_{f}" for f in NAMES), corrupt.alias("_corrupt"))
 
 
 def joined_columns(rows: DataFrame) -> list[str]:
@@ -143,7 +154,7 @@ def classify(rows: DataFrame) -> DataFrame:
         .when(wrong, REASONS[4])
     )
     out = read.where(~((F.col("fmt") == "csv") & (F.col("input_position") == 0)) | F.col("fmt").isNull() | F.col("input_position").isNull())
-    out = out.withColumn("reason", reason).withColumn("organisation_number", F.when(F.col("reason").isNull(), number))
+    out = _once(out, reason=reason).withColumn("organisation_number", F.when(F.col("reason").isNull(), number))
     out = out.withColumn("errors", F.when(F.col("reason").isNull(), "[]").otherwise(F.concat(F.lit('[{"code":"'), F.col("reason"), F.lit('","stage":"input"}]'))))
     return out.select(*joined_columns(rows), "organisation_number", "errors", "reason")
 
