@@ -97,7 +97,8 @@ def related(a: list[str], b: list[str]) -> bool:
     """Whether one name is the other with words left out, misspelt a little, or both."""
     if not a or not b:
         return False
-    if near("".join(a), "".join(b), 2) or near("".join(sorted(a)), "".join(sorted(b)), 2):
+    slips = 1 if min(len("".join(a)), len("".join(b))) < 10 else 2
+    if near("".join(a), "".join(b), slips) or near("".join(sorted(a)), "".join(sorted(b)), slips):
         return True
     short, long = sorted((a, b), key=len)
     left = list(long)

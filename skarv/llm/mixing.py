@@ -133,11 +133,11 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     ``blocks`` rows a source and over the one block, never over a source: one
     source may hold any share of the rows.
 
-    Sources not listed, and documents without source, aren't used. Repeated
+    Sources not listed, and documents without source or tokens, aren't used. Repeated
     rows count as further documents. Documents never used are left out.
     """
     spark = documents.sparkSession
-    known = cut(counted(documents, targets, vocabulary))
+    known = cut(counted(documents, targets, vocabulary).where("_tokens > 0"))
     order = F.xxhash64(F.lit(seed), "doc_id")
     known = known.withColumn("_order", order).withColumn("_block", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(blocks)))
     sums = {r.source: r.tokens for r in known.groupBy("source").agg(F.sum("_tokens").alias("tokens")).collect()}
