@@ -72,3 +72,10 @@ def profile(url: Column) -> Column:
 def web_address(url: Column) -> Column:
     """Whether it is ``http(s)`` with a host and without a user or password."""
     return F.coalesce(url.rlike(r"^https?://[^\s/?#@]+(?:[/?#][^\s]*)?$"), F.lit(False))
+
+
+def domain_guesses(words: Column, ending: str = "no", least: int = 5) -> Column:
+    """Hosts a name may have: its words run together, and with hyphens if there are several; short ones aren't guessed."""
+    joined, hyphened = F.array_join(words, ""), F.array_join(words, "-")
+    both = F.array(F.when(F.length(joined) >= least, joined), F.when((F.size(words) > 1) & (F.length(joined) >= least), hyphened))
+    return F.transform(F.array_compact(both), lambda g: F.concat(g, F.lit(f".{ending}")))

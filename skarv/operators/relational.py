@@ -7,10 +7,13 @@ on their order or partitions.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarv.functions.url import host_suffixes
+from skarv.session import cut
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -113,3 +116,30 @@ def suffix_join(rows: DataFrame, host: str, domains: DataFrame, domain: str, how
 def changelog(rows: DataFrame, key: str, order: list[str], status: str, active: str) -> DataFrame:
     """The rows now ``active`` of a log in which the last row of a key holds."""
     return latest_per_key(rows, [key], order).where(F.col(status) == active)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """``rows`` with their position from 0 in ``order``, without a window over all of them.
+
+    The rows are range-partitioned, sorted and written to the shared folder;
+    a number in its partition and the sizes of the partitions before it, one
+    number a partition on the driver, make the position.
+    """
+    placed = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    offsets, at = [], 0
+    for part, count in sizes:
+        offsets += [F.lit(part), F.lit(at)]
+        at += count
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    start = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
+    return placed.withColumn(name, (inside + start).cast("long")).drop("_part")
+
+
+def drawn_sample(rows: DataFrame, order: list[str], count: int, seed: int) -> DataFrame:
+    """``count`` rows by positions drawn from their number alone with the Mersenne Twister, in the order drawn as ``draw``."""
+    placed = numbered(rows, order, "_position")
+    n = placed.count()
+    drawn = random.Random(seed).sample(range(n), min(count, n))
+    picks = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(drawn)], "_position long, draw int")
+    return placed.join(F.broadcast(picks), "_position").drop("_position")  # ``count`` rows

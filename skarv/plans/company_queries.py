@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarv.functions import html, text, url
+from skarv.functions import extract, html, text, url
 from skarv.functions.ids import mod11_valid, only_digits
-from skarv.operators import aggregates, claims, identity, malformed, relational
+from skarv.operators import aggregates, claims, documents, identity, malformed, relational
 from skarv.plans import screening
 from skarv.plans.relational_queries import MONEY
 from skarv.sources import readers
@@ -252,12 +252,25 @@ def site_identity(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", identity.site_confidence(F.col("name"), F.col("organisation_number"), F.col("text")).alias("_s")).select("page_id", "_s.confidence", "_s.reason")
 
 
+@query("""SELECT regexp_replace(fullkey, '^\\$\\.?', '') AS path, count(*) AS leaves FROM (SELECT CAST(value AS JSON) AS v FROM bulk_evidence WHERE field = 'registry' AND value IS NOT NULL), json_tree(v) AS t WHERE t.atom IS NOT NULL GROUP BY 1""")
+def document_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each field of the registry documents is given."""
+    rows = table(spark, sf, "bulk_evidence").where("field = 'registry' and value is not null").select(F.explode(extract.json_leaves("value")).alias("_l")).where("_l.kind <> 'null'")
+    return rows.groupBy(F.regexp_replace(F.substring("_l.path", 2, 1_000_000), "/", ".").alias("path")).agg(F.count("*").alias("leaves"))
+
+
+@query("""SELECT row_id, unnest(list_filter([CASE WHEN NOT coalesce(place_id <> '', false) THEN 'no_id' END, CASE WHEN NOT coalesce(title <> '', false) THEN 'no_title' END, CASE WHEN NOT coalesce(web_site LIKE 'http%', false) THEN 'no_url' END, CASE WHEN NOT coalesce(review_rating BETWEEN 1 AND 5 OR review_count = 0, false) THEN 'bad_rating' END], lambda x: x IS NOT NULL)) AS reason FROM map_places""")
+def place_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    """Why captured places can't be published as they are, a row a reason."""
+    rules = {"no_id": F.col("place_id") != "", "no_title": F.col("title") != "", "no_url": F.col("web_site").like("http%"), "bad_rating": F.col("review_rating").between(1, 5) | (F.col("review_count") == 0)}
+    return documents.with_reasons(table(spark, sf, "map_places"), rules).select("row_id", F.explode("reasons").alias("reason"))
+
+
 @query()
-def names_in_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a name claimed for their company: a containment test behind an equality join."""
-    names = table(spark, sf, "claims").where("organisation_number is not null and name is not null").select("organisation_number", "name").distinct()
-    docs = table(spark, sf, "documents").where("organisation_number is not null").select("doc_id", "organisation_number", "text")
-    return docs.join(names, "organisation_number").where(text.contains_span(F.col("text"), F.col("name"))).select("doc_id", "name").distinct()
+def domain_guesses(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts each company may have by its name, and whether one is the website it gives."""
+    rows = profiles(spark, sf).select("organisation_number", url.host(F.col("website")).alias("given"), F.explode(url.domain_guesses(text.name_tokens(F.col("name")), "example")).alias("guess"))
+    return rows.withColumn("right", F.col("guess").eqNullSafe(F.col("given"))).select("organisation_number", "guess", "right")
 
 
 @query()

@@ -206,3 +206,13 @@ def footprint_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def settled_labels(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumn("l", F.when(F.col("value") > 90, "positive").when(F.col("value") < 10, "negative").otherwise("neutral"))
     return aggregates.settled_label(rows, ["user_id"], "event_type", "l")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders")
+def global_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.numbered(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "position")
+
+
+@query()
+def drawn_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.drawn_sample(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 100, 20260823)

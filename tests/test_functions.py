@@ -231,3 +231,48 @@ def test_late_rows_and_windows_on_a_stream(spark, tmp_path):
 def test_freshness(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-02-20 00:00:00"), (3, "2024-03-02 00:00:00")], "n int, t string")
     assert [r.n for r in events.freshness(rows, "t", "2024-03-01", 45).collect()] == [2]
+
+
+def test_extraction(spark):
+    from skarv.functions import extract
+
+    a = F.col("a")
+    got = values(spark, extract.json_leaves(a), '{"b":[1,{"c":"x"}],"d":null,"e":true}', "no", None, "[" * 100_000, "5")
+    assert [[tuple(x) for x in g] for g in got] == [[("/b/0", "number", "1"), ("/b/1/c", "text", "x"), ("/d", "null", None), ("/e", "boolean", "true")], [], [], [], [("/", "number", "5")]]
+    assert values(spark, extract.sequence_ratio(a, F.col("b")), ("abcd", "bcde"), (None, "x"), ("", "")) == [0.75, None, 1.0]
+    assert values(spark, extract.ascii_url(a), "https://blåbær.no/øl?q=å#x", "http://[", None) == ["https://xn--blbr-roah.no/%C3%B8l?q=%C3%A5", None, None]
+    assert values(spark, extract.fenced_json(a), 'Svar: ```json\n{"a":1}\n```', ' {"b":2} ', "nei", None) == ['{"a":1}', '{"b":2}', None, None]
+    assert values(spark, extract.plain_number(a), "1 234 567", "1.234", "12,5", "-3", "x", None) == [1234567.0, 1234.0, 12.5, -3.0, None, None]
+    rule = extract.by_priority(a, [r"ansatte: (\d+)", r"(\d+) ansatte"], unless="konsern")
+    assert values(spark, rule, "12 ansatte\nansatte: 9", "12 ansatte og 13 ansatte", "konsernet: 99 ansatte\n5 ansatte", None) == ["9", None, "5", None]
+    assert values(spark, url.domain_guesses(text.name_tokens(a)), "Nord Sør AS", "Fjellet", "Ab", None) == [["nordsor.no", "nord-sor.no"], ["fjellet.no"], [], []]
+
+
+def test_registry_documents(spark):
+    from skarv.operators import documents
+
+    entity = '{"organisasjonsnummer":"414028683","navn":"A","organisasjonsform":{"kode":"AS"},"antallAnsatte":0,"stiftelsesdato":"2020-02-30","forretningsadresse":{"adresse":["","Vei 1"],"land":""},"postadresse":{"adresse":[],"land":""},"aktivitet":["x","y"]}'
+    accounts = '[{"regnskapsperiode":{"fraDato":"2024-01-01","tilDato":"2024-12-31"},"valuta":"NOK","resultatregnskapResultat":{"aarsresultat":-5,"driftsresultat":{"driftsinntekter":{"sumDriftsinntekter":0}}}},{},{},{}]'
+    roles = '{"rollegrupper":[{"sistEndret":"2024-01-01","roller":[{"type":{"kode":"DAGL"},"person":{"navn":{"fornavn":"A","mellomnavn":"","etternavn":"B"}}},{"type":{"kode":"REVI"},"fratraadt":true,"enhet":{"organisasjonsnummer":"1","navn":["R","AS"]}}]},{"roller":[]}]}'
+    units = '{"_embedded":{"underenheter":[{"organisasjonsnummer":"9","postadresse":{"adresse":["P 1"]}}]}}'
+    df = spark.createDataFrame([(1, entity, accounts, roles, units), (2, None, None, None, None), (3, "x", "x", "x", "x")], "k int, e string, a string, r string, u string")
+    e = {r.k: r for r in documents.entities(df, "k", "e").collect()}
+    assert (e[1].legal_form, e[1].employees, e[1].founded, e[1].business_address.line, e[1].postal_address, e[1].activity, e[1].purpose) == ("AS", 0, None, "Vei 1", None, "x y", None) and e[2].name is None and e[3].name is None
+    a = documents.accounts(df, "k", "a").orderBy("position").collect()
+    assert [(r.k, r.position, r.revenue, r.net_result) for r in a] == [(1, 1, 0.0, -5.0), (1, 2, None, None), (1, 3, None, None)]
+    r = documents.roles(df, "k", "r").collect()
+    assert sorted((x.role, x.holder, x.left_office) for x in r) == [("DAGL", "A B", False), ("REVI", "R AS", True)]
+    assert [(x.unit_number, x.address.line) for x in documents.locations(df, "k", "u").collect()] == [("9", "P 1")]
+    assert values(spark, documents.in_period(F.col("a"), F.col("b"), F.col("c")), ("2024-01-01", "2024-12-31", "2024"), ("2024-01-01", "2023-12-31", "2024"), ("2024-01-01", "2024-12-31", None), (None, "2024", "2024")) == [True, False, None, False]
+    made = documents.with_reasons(spark.createDataFrame([(1, None), (2, "x")], "n int, v string"), {"empty": F.col("v") != "", "small": F.col("n") > 1}).orderBy("n").collect()
+    assert [r.reasons for r in made] == [["empty", "small"], []]
+
+
+def test_positions_and_draws(spark):
+    import random
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("n")).repartition(9)
+    assert all(r.n == r.position for r in relational.numbered(rows, ["n"]).collect())
+    got = {r.draw: r.n for r in relational.drawn_sample(rows, ["n"], 10, 5).collect()}
+    assert [got[i] for i in range(10)] == random.Random(5).sample(range(1000), 10)
+    assert relational.numbered(rows.limit(0), ["n"]).collect() == []
