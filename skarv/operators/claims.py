@@ -64,15 +64,14 @@ def cited(claims: DataFrame, entity: str = "organisation_number") -> DataFrame:
 
 
 def envelopes(inputs: DataFrame, claims: DataFrame, entity: str = "organisation_number", position: str = "position") -> DataFrame:
-    """One row an input line: its number, its claims as a sorted list, and whether there are any.
+    """One row an input line: its number, how many claims and fields there are for it, and whether any.
 
-    Claims are gathered once an entity, then joined to however many lines ask
-    for it. An entity's claims are one row by the result's own form; they are
-    as many as an entity has different facts.
+    The claims themselves stay rows under their entity, which any number of
+    lines may name; they are counted once an entity, never gathered.
     """
-    gathered = claims.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("claim_key", "field", "value", "evidence_id"))).alias("claims"))
-    rows = inputs.join(gathered, entity, "left")
-    return rows.select(position, entity, F.coalesce("claims", F.array().cast(gathered.schema["claims"].dataType)).alias("claims"), F.col("claims").isNotNull().alias("found"))
+    counted = claims.groupBy(entity).agg(F.count("*").alias("n_claims"), F.count_distinct("field").alias("n_fields"))
+    rows = inputs.join(counted, entity, "left")
+    return rows.select(position, entity, F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"), F.col("n_claims").isNotNull().alias("found"))
 
 
 def findings(evidence: DataFrame, key: str, url: str = "source_url", sha256: str = "content_sha256", at: str = "retrieved_at", content: str | None = None) -> DataFrame:

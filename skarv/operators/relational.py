@@ -77,17 +77,33 @@ def split_by_rank(rows: DataFrame, rank: Column, shares: dict[str, float], total
     return rows.withColumn("split", split.otherwise(name))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def _measure(rows: DataFrame, time: str) -> Column:
+    """A time or number as a double, for slicing."""
+    kind = rows.schema[time].dataType.simpleString()
+    if kind.startswith("timestamp") or kind == "date":
+        return F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000
+    return F.col(time).cast("double")
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], width: float) -> DataFrame:
     """``left`` with the ``values`` of the last row of ``right`` at or before its time, null if there is none.
 
-    One shuffle: both sides are stacked and the last value is carried along a
-    window of the key; there is no pair of rows that the result doesn't have.
+    Both sides are cut into slices of ``width`` (seconds, for times) and
+    stacked; the last value is carried along each slice of a key, and into a
+    slice comes what the slices before it end with. So a hot key is as many
+    groups as it has slices, and no pair is made that the result doesn't have.
     """
-    a = left.withColumn("_time", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType))
-    b = right.select(F.col(key), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"))
+    kind = right.select(F.struct(*values).alias("v")).schema["v"].dataType
+    a = left.withColumn("_time", F.col(left_time)).withColumn("_slice", F.floor(_measure(left, left_time) / width)).withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(kind))
+    b = right.select(F.col(key), F.col(right_time).alias("_time"), F.floor(_measure(right, right_time) / width).alias("_slice"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"))
     both = a.unionByName(b, allowMissingColumns=True)
-    carried = F.last("_value", ignorenulls=True).over(Window.partitionBy(key).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_value", carried).where("_side = 1").select(*left.columns, *(F.col(f"_value.{v}").alias(v) for v in values))
+    ends = both.groupBy(key, "_slice").agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", F.col("_value").alias("_v")))).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    entering = ends.select(key, "_slice", F.last("_end", ignorenulls=True).over(before).getField("_v").alias("_in"))
+    within = Window.partitionBy(key, "_slice").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_value", F.last("_value", ignorenulls=True).over(within)).where("_side = 1").join(entering, [key, "_slice"], "left")
+    out = F.coalesce("_value", "_in")
+    return carried.select(*left.columns, *(out.getField(v).alias(v) for v in values))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:

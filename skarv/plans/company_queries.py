@@ -9,6 +9,7 @@ from skarv.functions import extract, html, text, url
 from skarv.functions.ids import mod11_valid, only_digits
 from skarv.operators import aggregates, claims, documents, identity, malformed, relational
 from skarv.plans import screening
+from skarv.plans.evidence_queries import malformed_sql
 from skarv.plans.relational_queries import MONEY
 from skarv.sources import readers
 from skarv.session import table
@@ -203,11 +204,15 @@ def cited_claims(spark: SparkSession, sf: str) -> DataFrame:
     return claims.cited(_told(spark, sf)).select("organisation_number", "claim_key", "evidence_id")
 
 
-@query()
+@query(
+    malformed_sql()
+    + """, cited AS (SELECT source_row_key AS organisation_number, field, value FROM evidence WHERE status = 'available' AND source_url IS NOT NULL AND content_sha256 IS NOT NULL AND retrieved_at IS NOT NULL AND value IS NOT NULL GROUP BY ALL)
+SELECT row_id AS position, n AS organisation_number, coalesce(n_claims, 0) AS n_claims, coalesce(n_fields, 0) AS n_fields, n_claims IS NOT NULL AS found FROM told LEFT JOIN (SELECT organisation_number, count(*) AS n_claims, count(DISTINCT field) AS n_fields FROM cited GROUP BY 1) c ON n = organisation_number WHERE reason IS NULL"""
+)
 def envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Each input line that loads, with its company's claims."""
+    """Each input line that loads, with what is claimed of its company."""
     inputs = malformed.loaded(table(spark, sf, "input_rows")).select(F.col("row_id").alias("position"), "organisation_number")
-    return claims.envelopes(inputs, claims.cited(_told(spark, sf))).select("position", "organisation_number", F.size("claims").alias("n_claims"), "found")
+    return claims.envelopes(inputs, claims.cited(_told(spark, sf)))
 
 
 @query(r"""SELECT row_id, unnest(list_filter([CASE WHEN NOT coalesce(regexp_full_match(source_url, 'https?://[^\s/?#@]+(?:[/?#][^\s]*)?'), false) THEN 'invalid_url' END, CASE WHEN NOT coalesce(regexp_full_match(content_sha256, '[0-9a-f]{64}'), false) THEN 'invalid_hash' END, CASE WHEN retrieved_at IS NULL THEN 'invalid_time' END], lambda c: c IS NOT NULL)) AS code FROM bulk_evidence""")
@@ -273,7 +278,12 @@ def domain_guesses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("right", F.col("guess").eqNullSafe(F.col("given"))).select("organisation_number", "guess", "right")
 
 
-@query()
+_PADDED = "contains(' ' || lower(text) || ' ', ' {0} ')"
+
+
+@query(f"""WITH g AS (SELECT lang, CASE WHEN {_PADDED.format('the')} THEN 'en' WHEN {_PADDED.format('ikkje')} OR {_PADDED.format('ei')} THEN 'nn' WHEN {_PADDED.format('och')} THEN 'sv' ELSE 'nb' END AS guess FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT label, sum(support)::BIGINT AS support, sum(given) AS given, sum(r) AS r FROM (SELECT lang AS label, 1 AS support, 0 AS given, (lang = guess)::INT AS r FROM g UNION ALL SELECT guess, 0, 1, 0 FROM g) GROUP BY 1), q AS (SELECT label, support, coalesce(r / nullif(given, 0), 0.0) AS precision, coalesce(r / nullif(support, 0), 0.0) AS recall FROM s)
+SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM q""")
 def language_quality(spark: SparkSession, sf: str) -> DataFrame:
     """How well two frequent words tell a document's language: precision, recall and F1 a label."""
     padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))

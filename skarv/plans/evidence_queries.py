@@ -110,6 +110,13 @@ told AS (SELECT row_id, n, CASE WHEN bad_quoting THEN 'broken_quoting' WHEN fmt
   WHEN (coalesce(e, '') <> '' AND NOT regexp_full_match(e, '[0-9]+')) OR (coalesce(f, '') <> '' AND (NOT regexp_full_match(f, '\d{{4}}-\d{{2}}-\d{{2}}') OR TRY_CAST(f AS DATE) IS NULL)) OR (coalesce(k, '') <> '' AND lower(k) NOT IN ('true', 'false')) THEN 'invalid_value' END AS reason FROM summed)
 """
 
+
+
+def malformed_sql() -> str:
+    """The common table ``told(row_id, n, reason)`` of the raw records, to be continued."""
+    return _INPUT.rstrip()
+
+
 SQL = {
     "p2_found": _HISTORY.replace("<VALUE>", ""),
     "p2_history": _HISTORY.replace("<VALUE>", "value,"),

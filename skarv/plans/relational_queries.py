@@ -65,7 +65,7 @@ def asof_last_event(spark: SparkSession, sf: str) -> DataFrame:
     both = events.join(F.broadcast(kinds))  # one row
     left = both.where("event_type = _first").select("event_id", "user_id", "ts")
     right = both.where("event_type = _last").groupBy("user_id", F.col("ts").alias("at")).agg(F.max("event_id").alias("before_id"))
-    return relational.as_of_join(left, right, "user_id", "ts", "at", ["before_id"]).select("event_id", "before_id")
+    return relational.as_of_join(left, right, "user_id", "ts", "at", ["before_id"], 86_400.0).select("event_id", "before_id")
 
 
 @query("SELECT s_suppkey, count(*) AS customers FROM supplier JOIN customer ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 50 GROUP BY ALL")

@@ -134,7 +134,7 @@ def test_claims_and_refresh(spark):
     told = claims.cited(spark.createDataFrame(rows, schema))
     assert [(r.field, r.value) for r in told.collect()] == [("f", "0")]
     made = claims.envelopes(spark.createDataFrame([(1, "1"), (2, "1"), (3, "9")], "position int, organisation_number string"), told).orderBy("position").collect()
-    assert [(len(r.claims), r.found) for r in made] == [(1, True), (1, True), (0, False)]
+    assert [(r.n_claims, r.n_fields, r.found) for r in made] == [(1, 1, True), (1, 1, True), (0, 0, False)]
     assert claims.dangling(told, told.limit(0)).count() == 1 and claims.dangling(told, told).count() == 0
     pages = spark.createDataFrame([(1, "https://a.no", "0" * 64, "t", "x"), (2, "a.no", None, None, "y")], "k int, source_url string, content_sha256 string, retrieved_at string, body string")
     assert sorted((r.k, r.code) for r in claims.findings(pages, "k", content="body").collect()) == [(1, "content_changed"), (2, "invalid_hash"), (2, "invalid_time"), (2, "invalid_url")]
@@ -165,11 +165,12 @@ def test_as_of_and_range_against_brute_force(spark):
     rng = random.Random(2)
     left = [(i, rng.randrange(3), rng.randrange(50)) for i in range(60)]
     right = [(k, t, t * 10 + k) for k, t in {(rng.randrange(3), rng.randrange(50)) for _ in range(40)}]
-    got = relational.as_of_join(spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, at int, v int"), "k", "t", "at", ["v"]).collect()
-    for r in got:
-        before = [(at, v) for k, at, v in right if k == r.k and at <= r.t]
-        assert r.v == (max(before)[1] if before else None)
-    assert len(got) == 60
+    for width in (3.0, 1000.0):
+        got = relational.as_of_join(spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, at int, v int"), "k", "t", "at", ["v"], width).collect()
+        for r in got:
+            before = [(at, v) for k, at, v in right if k == r.k and at <= r.t]
+            assert r.v == (max(before)[1] if before else None)
+        assert len(got) == 60
     ranges = [(j, float(a), float(a + rng.randrange(1, 20))) for j, a in enumerate(rng.randrange(-30, 40) for _ in range(15))]
     points = [(i, rng.uniform(-35, 60)) for i in range(80)]
     held = relational.range_join(spark.createDataFrame(points, "i int, p double"), spark.createDataFrame(ranges, "j int, a double, b double"), "p", "a", "b", 7.0)
