@@ -88,6 +88,7 @@ def read_permissively(rows: DataFrame) -> DataFrame:
     csv record whose quoting or number of columns is off, or a jsonl record
     that isn't one JSON value; its fields are null.
     """
+    rows = rows.select(*joined_columns(rows))
     heads = _headers(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     is_csv = F.col("fmt") == "csv"
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
