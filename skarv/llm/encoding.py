@@ -40,6 +40,8 @@ WRITTEN = 2
 AS_WRITTEN = 4
 #: Values with fewer spaces are names, in which a question mark before a space ends no sentence.
 NAME_WORDS = 5
+#: Characters on either side that a word or a pair of brackets may span.
+NEAR = 64
 
 _DAMAGE = T.StructType(
     [
@@ -166,7 +168,7 @@ def _foreign(text: str, i: int) -> bool:
     """Whether a letter of another script stands in a word of that script."""
     if not (text[i].isalpha() and ord(text[i]) > 0x24F):
         return False
-    around = re.search(r"[^\W\d_]*$", text[:i])[0] + re.match(r"[^\W\d_]*", text[i + 1 :])[0]
+    around = re.search(r"[^\W\d_]*$", text[max(0, i - NEAR) : i])[0] + re.match(r"[^\W\d_]*", text[i + 1 : i + 1 + NEAR])[0]
     return any(ord(c) > 0x24F and c not in garbled_letters() for c in around) or bool(around and all(ord(c) > 0x24F for c in around))
 
 
@@ -174,10 +176,10 @@ def _paired(text: str, i: int) -> bool:
     """Brackets around something, as in ``{B}`` and ``[A]``, are brackets; so is a sign between spaces."""
     c = text[i]
     if c in "[{":
-        close = text.find("]" if c == "[" else "}", i + 1)
+        close = text.find("]" if c == "[" else "}", i + 1, i + 1 + NEAR)
         return close > 0 and re.fullmatch(r"[\w .,&-]{0,40}", text[i + 1 : close]) is not None and (i == 0 or not text[i - 1].isalpha()) and not text[close + 1 : close + 2].isalpha()
     if c in "]}":
-        start = text.rfind("[" if c == "]" else "{", 0, i)
+        start = text.rfind("[" if c == "]" else "{", max(0, i - NEAR), i)
         return start >= 0 and _paired(text, start)
     return False
 
@@ -194,6 +196,7 @@ def repair(text: str | None, written) -> tuple[bool, str | None, bool, list[str]
     spans, lost, pairs = [], False, Counter()
     letters = garbled_letters()
     singles: list[tuple[int, str]] = []
+    short = text.count(" ") < NAME_WORDS
     for end, (garbled, original, pair) in found.iter_long(text):
         start = end - len(garbled) + 1
         if original is not None:
@@ -209,7 +212,7 @@ def repair(text: str | None, written) -> tuple[bool, str | None, bool, list[str]
             lost = True
         elif c == "?":
             inside = before.isalpha() and after.isalpha() and not (before.islower() and after.isupper())
-            runs_on = re.match(r" [^\W_A-ZÆØÅ]", text[i + 1 : i + 3]) is not None or (after == " " and text.count(" ") < NAME_WORDS)
+            runs_on = re.match(r" [^\W_A-ZÆØÅ]", text[i + 1 : i + 3]) is not None or (after == " " and short)
             start = after.isalpha() and (opens or before in "(-/«\"")
             if inside or ((start or (runs_on and (before.isalpha() or opens))) and any(_score(text, i, x, written) for x in LETTERS)):
                 lost = True

@@ -128,11 +128,11 @@ def split(documents: DataFrame, text: str = "text", limit: int = 2048, overlap:
 
     kept = [c for c in documents.columns if c not in ("piece_no", "n_pieces", "piece_start", "piece_length", "shared_tokens", "piece_tokens", "piece_text")]
     whole = F.octet_length(F.col(text)) <= limit
-    long = documents.select(*kept).where(~whole).withColumn("_pieces", cut(F.col(text)))
-    long = long.select(*kept, F.size("_pieces").alias("n_pieces"), F.posexplode("_pieces").alias("_at", "_piece"))
+    long = documents.select(*kept).where(~whole).withColumn("__pieces", cut(F.col(text)))
+    long = long.select(*kept, F.size("__pieces").alias("n_pieces"), F.posexplode("__pieces").alias("__at", "__piece"))
     long = long.select(
-        *kept, (F.col("_at") + 1).alias("piece_no"), "n_pieces", F.col("_piece.start").alias("piece_start"), F.col("_piece.length").alias("piece_length"), F.col("_piece.shared_tokens").alias("shared_tokens"), F.col("_piece.tokens").alias("piece_tokens"),
-        F.substring(F.col(text), F.col("_piece.start") + 1, F.col("_piece.length")).alias("piece_text"),
+        *kept, (F.col("__at") + 1).alias("piece_no"), "n_pieces", F.col("__piece.start").alias("piece_start"), F.col("__piece.length").alias("piece_length"), F.col("__piece.shared_tokens").alias("shared_tokens"), F.col("__piece.tokens").alias("piece_tokens"),
+        F.substring(F.col(text), F.col("__piece.start") + 1, F.col("__piece.length")).alias("piece_text"),
     )
     short = documents.select(*kept).where(whole & (F.length(F.col(text)) > 0))
     short = short.select(*kept, F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("piece_start"), F.length(F.col(text)).alias("piece_length"), F.lit(0).alias("shared_tokens"), F.lit(None).cast("int").alias("piece_tokens"), F.col(text).alias("piece_text"))

@@ -196,3 +196,9 @@ def test_leaks(spark):
     for (doc, item), share in got.items():
         assert 0.5 <= share <= brute_share({1: ITEM, 2: OTHER}[item], texts[doc] if doc != 11 else texts[1]) + 1e-9
     assert leakage.find_leaks(docs.limit(0), items).collect() == [] and leakage.find_leaks(docs, items.limit(0)).collect() == []
+
+
+def test_long_damaged_texts_take_linear_time(written):
+    text = "b?t {x} R|r [y] Kjшp " * 20_000
+    damaged, restored, complete, _ = encoding.repair(text, written)
+    assert damaged and not complete and restored.count("Kjøp") == 20_000
