@@ -18,18 +18,13 @@ from pyspark.sql import types as T
 from skarv.llm.tokens import VOCABULARY, encoding, tokenize
 
 #: Boundaries from the strongest to the weakest: before a heading or page
-#: break, after a blank line, a line, a sentence, a clause, a word.
-BOUNDARIES = tuple(
-    re.compile(p)
-    for p in (
-        r"\f|\n(?=#{1,6} )|\n[ \t]*\n(?=[^\n]{1,80}\n[ \t]*\n)",
-        r"\n[ \t]*(?:\n[ \t]*)+",
-        r"\n",
-        r"[.!?…][\"'»”’)\]]*(?=\s)",
-        r"[;:,–—](?=\s)",
-        r"\S(?=\s)",
-    )
-)
+#: break, after a blank line, a line, a sentence, a clause, a word. Lines,
+#: clauses and words are told by the characters on either side of a token.
+HEADING = re.compile(r"\f|\n(?=#{1,6} )|\n[ \t]*\n(?=[^\n]{1,80}\n[ \t]*\n)")
+BLANK = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
+SENTENCE = re.compile(r"[.!?…][\"'»”’)\]]*(?=\s)")
+CLAUSE_ENDS = np.array([ord(c) for c in ";:,–—"], dtype=np.uint32)
+SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
 #: The part of a segment, around its middle, in which a cut is looked for.
 NEAR = 0.5
 
@@ -58,11 +53,17 @@ def _token_starts(text: str, ids: np.ndarray, vocabulary: str) -> np.ndarray:
 
 def _levels(text: str, starts: np.ndarray) -> np.ndarray:
     """The strength of the boundary before each token; 0 where there is none, -1 where no cut is possible."""
-    at = np.full(len(text) + 1, 0, dtype=np.int8)
-    for level, pattern in zip(range(1, len(BOUNDARIES) + 1), reversed(BOUNDARIES)):
-        ends = [m.end() for m in pattern.finditer(text)]
-        at[ends] = level
-    return np.where(starts >= 0, at[np.maximum(starts, 0)], -1)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass") + b" \0\0\0", dtype=np.uint32)
+    place = np.maximum(starts, 0)
+    before = codes[np.maximum(place - 1, 0)]
+    word = np.isin(codes[place], SPACES) & ~np.isin(before, SPACES)
+    level = word.astype(np.int8)
+    level[word & np.isin(before, CLAUSE_ENDS)] = 2
+    strong = np.zeros(len(codes), dtype=np.int8)
+    for strength, pattern in ((3, SENTENCE), (5, BLANK), (6, HEADING)):
+        strong[[m.end() for m in pattern.finditer(text)]] = strength
+    level = np.maximum(level, np.where(before == 10, np.int8(4), np.int8(0)))
+    return np.where(starts >= 0, np.maximum(level, strong[place]), -1)
 
 
 def pieces(text: str | None, limit: int = 2048, overlap: int = 128, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int, int]]:
