@@ -129,7 +129,7 @@ def split(documents: DataFrame, text: str = "text", limit: int = 2048, overlap:
 
     kept = [c for c in documents.columns if c not in ("piece_no", "n_pieces", "piece_start", "piece_length", "shared_tokens", "piece_tokens", "piece_text")]
     whole = F.octet_length(F.col(text)) <= limit
-    long = documents.select(*kept).where(~whole).withColumn("__pieces", cut(F.col(text)))
+    long = documents.select(*kept).where(~whole).withColumn("__pieces", cut.asNondeterministic()(F.col(text)))  # lest a filter behind it cut twice
     long = long.select(*kept, F.size("__pieces").alias("n_pieces"), F.posexplode("__pieces").alias("__at", "__piece"))
     long = long.select(
         *kept, (F.col("__at") + 1).alias("piece_no"), "n_pieces", F.col("__piece.start").alias("piece_start"), F.col("__piece.length").alias("piece_length"), F.col("__piece.shared_tokens").alias("shared_tokens"), F.col("__piece.tokens").alias("piece_tokens"),
