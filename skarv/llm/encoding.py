@@ -260,5 +260,5 @@ def find_damage(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFram
     def damage(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([repair(v, written) for v in values], columns=["damaged", "restored", "complete", "encodings"])
 
-    told = long.withColumn("_damage", damage("value")).where("_damage.damaged")
+    told = long.withColumn("_damage", damage.asNondeterministic()("value")).where("_damage.damaged")
     return told.select(key, "column_name", "value", F.col("_damage.restored").alias("restored"), F.col("_damage.complete").alias("complete"), F.col("_damage.encodings").alias("encodings"))
