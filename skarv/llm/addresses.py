@@ -170,7 +170,7 @@ def parsed(address: Column, code: Column, town: Column) -> Column:
         rows = [parse(a, c, t) or (None,) * 7 for a, c, t in zip(addresses, codes, towns)]
         return pd.DataFrame(rows, columns=[f.name for f in _PARSED.fields]).astype({"number": "Int32"})
 
-    return run(address, code.cast("string"), town.cast("string"))
+    return run.asNondeterministic()(address, code.cast("string"), town.cast("string"))  # lest a filter behind it parse twice
 
 
 def town_names(rows: DataFrame) -> dict[str, str]:
@@ -212,7 +212,7 @@ def place_in_town(code: Column, town: Column, known: dict[str, str]) -> Column:
 
         return pd.Series([known[c] if c in known else by_name(t) or (c and f"code {c}") for c, t in zip(codes, towns)], dtype=object)
 
-    return run(code, town)
+    return run.asNondeterministic()(code, town)
 
 
 def _forms(stem: Column) -> Column:
