@@ -122,11 +122,17 @@ def _name_forms(words: pd.Series) -> pd.Series:
     return pd.Series([name_forms(list(w)) for w in words])
 
 
+_name_forms = _name_forms.asNondeterministic()  # lest an explosion of it compute it twice
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _word_forms(words: pd.Series) -> pd.Series:
     return pd.Series([word_forms(list(w)) for w in words])
 
 
+_word_forms = _word_forms.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def _folded(names: pd.Series) -> pd.Series:
     return pd.Series([None if n is None else " ".join(re.findall(r"[^\W\d_]+", fold(n))) for n in names], dtype=object)
