@@ -57,6 +57,10 @@ def canonical(values: pd.Series) -> pd.Series:
     return _mapped(values, canonical_json)
 
 
+#: The same where a filter on the result follows, which would else compute it twice.
+canonical_once = F.pandas_udf(T.StringType())(canonical.func).asNondeterministic()
+
+
 @F.pandas_udf(T.BinaryType())
 def value_hash(values: pd.Series) -> pd.Series:
     """The first 16 bytes of SHA-256 over the canonical text."""

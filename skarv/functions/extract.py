@@ -37,6 +37,9 @@ def json_leaves(texts: pd.Series) -> pd.Series:
     return pd.Series([leaves(t) for t in texts])
 
 
+json_leaves = json_leaves.asNondeterministic()  # lest an explosion of it compute it twice
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters by the length of both, matching blocks found longest first; null for a null."""

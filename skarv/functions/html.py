@@ -189,3 +189,7 @@ def _feed(xml: str | None) -> list[tuple]:
 def feed_items(xml: pd.Series) -> pd.Series:
     """The items of an RSS or Atom feed in its order; none where it isn't a feed."""
     return pd.Series([_feed(x) for x in xml])
+
+
+# What is exploded or filtered behind them is computed once.
+page_signals, page_links, linked_data, feed_items = (f.asNondeterministic() for f in (page_signals, page_links, linked_data, feed_items))

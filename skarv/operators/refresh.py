@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarv.functions.canon import canonical
+from skarv.functions.canon import canonical_once
 
 CHANGE = "field string, old_value string, new_value string, old_hash string, new_hash string"
 
@@ -27,7 +27,7 @@ def diff(previous: DataFrame, current: DataFrame, key: str, tracked: list[str],
     if status:
         both = both.where("a__status = 'available' and b__status = 'available'")
     pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"a_{c}").alias("_a"), F.col(f"b_{c}").alias("_b")) for c in tracked))
-    rows = both.select(key, F.inline(pairs)).where("not (_a <=> _b)").select(key, "field", canonical("_a").alias("old_value"), canonical("_b").alias("new_value"))
+    rows = both.select(key, F.inline(pairs)).where("not (_a <=> _b)").select(key, "field", canonical_once("_a").alias("old_value"), canonical_once("_b").alias("new_value"))
     rows = rows.where("not (old_value <=> new_value)")
     return rows.select("*", F.sha2("old_value", 256).alias("old_hash"), F.sha2("new_value", 256).alias("new_hash"))
 
