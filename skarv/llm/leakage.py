@@ -1,11 +1,11 @@
 """Held-out test items that leak into documents, whole or in part.
 
-A random walk in the manner of CGK turns each window of words into a string in
-which few edits change few places: at every step the walk emits the word it
-stands on, and a random bit of step and word says whether it moves on. Bit
-sampling then hashes a few of the places, in several repetitions, and equal
-hashes of a document's window and an item's window make a candidate. Each
-candidate is verified exactly, by an alignment of the item with the document.
+Two words that a document has side by side, or with one word between them, as
+an item has them are a hit. Every passage that ``carried`` can count holds
+hits, so the documents and items that share too few of them, or too few words
+near them, carry less than half of the item by a bound that no leak falls
+under. All others are verified exactly, by an alignment of the item with the
+document.
 """
 
 from __future__ import annotations
@@ -13,27 +13,23 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a walk may read, steps it takes, steps that are sampled, repetitions.
-WINDOW, STEPS, SAMPLED, REPEATS = 12, 14, 4, 5
-#: Of the first words of a window this many have to be words of some item.
-FIRST, KNOWN = 8, 6
-#: The share of an item's words that its candidate windows have to span, and
-#: the share at which one has to begin; leaks of half an item have far more.
-SPANNED, BEGUN = 0.4, 0.15
 #: The share of an item's wording that a document has to carry.
 CARRIED = 0.5
 #: Items compared at once; more are compared block by block.
 BLOCK = 4096
 #: A new passage costs as many matched words; a passage has at least one more.
 JUMP = 4
-SEED = 20240229
+#: Words of documents that are looked up at once.
+CHUNK = 200_000
+#: A hit's steps from word to word, in the document and in the item.
+STEPS = ((1, 1), (1, 2), (2, 1))
+GAP = 2
 
 _JOINED = re.compile(r"(?<=\w)[-­‐‑⁃]\s*(?=\w)|[­​-‏⁠﻿]|(?<=\d)[.,  ](?=\d)|['’`´](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
@@ -54,107 +50,169 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_JOINED.sub("", text))
 
 
+def jump(m: int) -> int:
+    """``JUMP``, or what half of an item of ``m`` words can still pay."""
+    return min(JUMP, math.ceil(CARRIED * m) - 1)
+
+
+def _spread(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges ``left`` to ``right``, and which range each is of."""
+    many = right - left
+    ends = np.cumsum(many)
+    of = np.repeat(np.arange(len(many)), many)
+    return np.repeat(left - (ends - many), many) + np.arange(len(of)), of
+
+
 class Index:
-    """The hashes of one block of items, and all that a worker needs to look for them."""
+    """The word pairs of one block of items, and all that a worker needs to look for them."""
 
     def __init__(self, items: list[tuple[int, str]]):
         texts = {item: words(text or "") for item, text in items}
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for t in texts.values() for w in t}))}
         self.items = {item: np.array([self.vocabulary[w] for w in t], dtype=np.int32) for item, t in texts.items() if t}
-        rng = np.random.default_rng(SEED)
-        self.walks = []
-        for _ in range(REPEATS):
-            moves = rng.random((STEPS, len(self.vocabulary) + 1)) < 0.75
-            steps = np.sort(rng.choice(STEPS, SAMPLED, replace=False))
-            mixers = rng.integers(1, 2**62, SAMPLED, dtype=np.int64) | 1
-            self.walks.append((moves, steps, mixers))
-        flat, owner, place = self._joined(list(self.items.values())), [], []
-        for number, ids in enumerate(self.items.values()):
-            owner += [number] * (len(ids) + WINDOW)
-            place += [*range(len(ids)), *[-1] * WINDOW]
         self.names = np.array(list(self.items), dtype=np.int64)
-        owner, place = np.array(owner, dtype=np.int32), np.array(place, dtype=np.int32)
-        starts = np.flatnonzero(flat)
+        self.wanted = list(self.items.values())
+        self.lengths = np.array([len(t) for t in self.wanted], dtype=np.int64)
+        self.jumps = np.array([jump(len(t)) for t in self.wanted], dtype=np.int64)
+        self.local = np.zeros(len(self.vocabulary) + 1, dtype=np.int32)
+        flat = self._joined(self.wanted)
+        owner = np.repeat(np.arange(len(self.wanted)), self.lengths + GAP)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(self.lengths + GAP) - self.lengths - GAP, self.lengths + GAP)
         self.keys = []
-        for walk in self.walks:
-            at, key = self._hash(flat, starts, walk)
+        for near, step in (*STEPS, (0, 0)):
+            at, key = self._pairs(flat, step)
+            if not step:  # a passage of a single word has no pair
+                alone = self.jumps[owner[at]] == 0
+                at, key = at[alone], key[alone]
             order = np.argsort(key, kind="stable")
-            self.keys.append((key[order], owner[at[order]], place[at[order]]))
+            self.keys.append((near, step, key[order], owner[at[order]], place[at[order]]))
 
     @staticmethod
     def _joined(texts: list[np.ndarray]) -> np.ndarray:
-        gap = np.zeros(WINDOW, dtype=np.int32)
+        gap = np.zeros(GAP, dtype=np.int32)
         return np.concatenate([x for t in texts for x in (t, gap)] or [gap])
 
-    @staticmethod
-    def _hash(flat: np.ndarray, starts: np.ndarray, walk) -> tuple[np.ndarray, np.ndarray]:
-        """The windows whose sampled words are all known, and their hashes."""
-        moves, steps, mixers = walk
-        at, pointer = starts, starts.copy()
-        key = np.zeros(len(at), dtype=np.int64)
-        with np.errstate(over="ignore"):
-            k = 0
-            for step in range(STEPS):
-                here = flat[pointer]
-                if k < SAMPLED and steps[k] == step:
-                    kept = here > 0
-                    at, pointer, key, here = at[kept], pointer[kept], key[kept], here[kept]
-                    key = (key + here) * mixers[k]
-                    key ^= key >> 29
-                    k += 1
-                    if k == SAMPLED:
-                        break
-                pointer = pointer + moves[step][here]
-        return at, key
+    def _pairs(self, flat: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where two known words stand ``step`` apart, and the pair as a number."""
+        first, second = flat[: len(flat) - step], flat[step:]
+        at = np.flatnonzero((first > 0) & (second > 0))
+        return at, first[at].astype(np.int64) * (len(self.vocabulary) + 1) + second[at]
 
     def candidates(self, documents: list[np.ndarray]):
-        """``{(document number, item number): (document places, item places)}`` of colliding windows."""
-        flat = self._joined(documents)
-        known = (flat > 0).astype(np.int16)
-        sums = np.concatenate(([0], np.cumsum(known, dtype=np.int64)))
-        last = np.minimum(np.arange(len(flat)) + FIRST, len(flat))
-        starts = np.flatnonzero((flat > 0) & (sums[last] - sums[: len(flat)] >= KNOWN))
-        found: dict[tuple[int, int], list] = defaultdict(list)
-        if not len(starts):
-            return found
-        begins = np.cumsum([0] + [len(d) + WINDOW for d in documents])
-        for walk, (keys, owner, place) in zip(self.walks, self.keys):
+        """``(document number, item number, document places of hits)`` where the item may be carried.
+
+        A passage that is worth its jump has one word more than the jump, a
+        skipped word costs a half, and two skipped words between matched ones
+        use up what the next matched one earns; so it holds as many hits as
+        the jump costs, on one word more.
+        """
+        flat, many = self._joined(documents), len(self.wanted)
+        begins = np.cumsum([0] + [len(d) + GAP for d in documents])
+        pairs, places, reached, steps = [], [], [], []
+        for near, step, keys, owner, place in self.keys:
             if not len(keys):
                 continue
-            at, key = self._hash(flat, starts, walk)
+            at, key = self._pairs(flat, near)
             left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            hit = right > left
-            at, left, many = at[hit], left[hit], (right - left)[hit]
-            if not len(at):
-                continue
-            ends = np.cumsum(many)
-            entry = np.repeat(left - (ends - many), many) + np.arange(ends[-1])
-            where = np.repeat(at, many)
+            entry, of = _spread(left, right)
+            where = at[of]
             number = np.searchsorted(begins, where, "right") - 1
-            pair = number.astype(np.int64) * len(self.names) + owner[entry]
-            order = np.argsort(pair, kind="stable")
-            cuts = np.flatnonzero(np.diff(pair[order])) + 1
-            for group in np.split(order, cuts):
-                p = int(pair[group[0]])
-                found[divmod(p, len(self.names))].append((where[group] - begins[p // len(self.names)], place[entry[group]]))
-        return {k: (np.concatenate([a for a, _ in v]), np.concatenate([b for _, b in v])) for k, v in found.items()}
+            pairs.append(number * many + owner[entry])
+            places.append(where - begins[number])
+            reached.append(place[entry])
+            steps.append(np.full(len(entry), step))
+        if not pairs:
+            return
+        pair, place, reach, step = (np.concatenate(x) for x in (pairs, places, reached, steps))
+        kind, group, count = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = count >= np.maximum(self.jumps[kind % many], 1)
+        kept = enough[group]
+        group, place, reach, step = group[kept], place[kept], reach[kept], step[kept]
+        longest = int(self.lengths.max()) + 1
+        covered = np.unique(np.concatenate([group * longest + reach, group * longest + reach + step])) // longest
+        enough = np.bincount(covered, minlength=len(kind)) > self.jumps[kind % many]
+        order = np.argsort(group, kind="stable")
+        group, place = group[order], place[order]
+        chosen = np.flatnonzero(enough)
+        for number, mine in _by_document(chosen, kind[chosen] // many):
+            document = documents[number]
+            present = np.zeros(len(self.local), dtype=bool)
+            present[document] = True
+            item = kind[mine] % many
+            sizes = self.lengths[item]
+            shared = np.add.reduceat(present[np.concatenate([self.wanted[i] for i in item])].astype(np.int64), np.cumsum(sizes) - sizes)
+            for k, i, most in zip(mine, item, shared):
+                if most >= CARRIED * self.lengths[i]:
+                    low, high = np.searchsorted(group, (k, k + 1))
+                    hits = self._near(self.wanted[i], document, np.unique(place[low:high]), int(most))
+                    if hits is not None:
+                        yield number, int(i), hits
+
+    def _near(self, item: np.ndarray, document: np.ndarray, hits: np.ndarray, most: int) -> np.ndarray | None:
+        """The hits that a passage can hold; null if the words near them aren't half of the item.
+
+        A passage of at most ``most`` words skips fewer than twice those that
+        are left when its jump is paid, which bounds its reach.
+        """
+        least, own = jump(len(item)), np.unique(item, return_counts=True)
+        self.local[own[0]] = np.arange(1, len(own[0]) + 1)
+        codes = self.local[document]
+        self.local[own[0]] = 0
+        at = np.flatnonzero(codes)
+        codes = codes[at]
+        while True:
+            before = len(hits), most
+            reach = most + 2 * (most - least)
+            if least > 1:
+                if len(hits) < least:
+                    return None
+                close = np.flatnonzero(hits[least - 1 :] - hits[: len(hits) - least + 1] <= reach)
+                hits = hits[np.unique(close[:, None] + np.arange(least))]
+            if not len(hits):
+                return None
+            after = np.searchsorted(hits, at)
+            inside = np.minimum(np.abs(at - hits[np.maximum(after - 1, 0)]), np.abs(hits[np.minimum(after, len(hits) - 1)] - at)) <= reach
+            most = int(np.minimum(np.bincount(codes[inside], minlength=len(own[0]) + 1)[1:], own[1]).sum())
+            if most < CARRIED * len(item):
+                return None
+            if (len(hits), most) == before:
+                return hits if _in_order(own[0], item, codes[inside]) >= CARRIED * len(item) else None
 
     def leaks(self, documents: list[list[int]]):
         """``(document number, item, share carried)`` of all leaks in the documents, given as word ids."""
-        arrays = [np.array(d, dtype=np.int32) for d in documents]
-        ids = list(self.items.values())
-        for (number, item), (where, place) in self.candidates(arrays).items():
-            wanted = ids[item]
-            begun = np.unique(place)
-            if len(begun) < BEGUN * len(wanted):
-                continue
-            spanned = np.zeros(len(wanted) + WINDOW, dtype=bool)
-            spanned[(begun[:, None] + np.arange(WINDOW)).ravel()] = True
-            if spanned[: len(wanted)].sum() < SPANNED * len(wanted):
-                continue
-            share = carried(wanted, arrays[number], where)
-            if share >= CARRIED:
-                yield number, int(self.names[item]), share
+        begin = 0
+        while self.wanted and begin < len(documents):
+            end, total = begin, 0
+            while end < len(documents) and (end == begin or total + len(documents[end]) <= CHUNK):
+                total += len(documents[end])
+                end += 1
+            arrays = [np.array(d, dtype=np.int32) for d in documents[begin:end]]
+            for number, item, hits in self.candidates(arrays):
+                share = carried(self.wanted[item], arrays[number], hits)
+                if share >= CARRIED:
+                    yield begin + number, int(self.names[item]), share
+            begin = end
+
+
+def _in_order(own: np.ndarray, item: np.ndarray, codes: np.ndarray) -> int:
+    """How many of the item's words stand in its order, bit by bit; ``codes`` number the words in ``own`` from 1."""
+    places = [0] * (len(own) + 1)
+    for i, code in enumerate((np.searchsorted(own, item) + 1).tolist()):
+        places[code] |= 1 << i
+    every = (1 << len(item)) - 1
+    row = every
+    for code in codes.tolist():
+        met = row & places[code]
+        row = ((row + met) | (row - met)) & every
+    return len(item) - row.bit_count()
+
+
+def _by_document(chosen: np.ndarray, number: np.ndarray):
+    """``(document number, those of chosen that are its)``, ``number`` being sorted."""
+    cuts = np.flatnonzero(np.diff(number)) + 1
+    for mine in np.split(np.arange(len(chosen)), cuts):
+        if len(mine):
+            yield int(number[mine[0]]), chosen[mine]
 
 
 def carried(item: np.ndarray, document: np.ndarray, near: np.ndarray) -> float:
@@ -162,31 +220,35 @@ def carried(item: np.ndarray, document: np.ndarray, near: np.ndarray) -> float:
 
     An alignment in which a matched word earns one, a skipped or changed one
     costs a half on either side, and a new passage anywhere later costs
-    ``JUMP``. Only stretches within an item's length of a colliding window
+    ``jump``. Only the item's words within three times its length of a hit
     are aligned, which is all that a passage can reach.
     """
     m = len(item)
+    paid = jump(m)
     kept = np.zeros(len(document) + 1, dtype=np.int32)
-    np.add.at(kept, np.maximum(np.unique(near) - m, 0), 1)
-    np.add.at(kept, np.minimum(np.unique(near) + m + WINDOW, len(document)), -1)
-    text = document[np.cumsum(kept[:-1]) > 0]
+    np.add.at(kept, np.maximum(near - 3 * m, 0), 1)
+    np.add.at(kept, np.minimum(near + 3 * m + GAP, len(document)), -1)
+    at = np.flatnonzero(np.cumsum(kept[:-1]) > 0)
+    at = at[np.isin(document[at], item)]
+    text = document[at]
     n = len(text)
     if n == 0:
         return 0.0
     low = -1e9
-    cost = 0.5 * np.arange(n)
+    cost = 0.5 * at
+    after = np.concatenate(([0], cost[:-1] + 0.5))  # the cost at the word behind the one before
     row = np.full(n, low)  # the best score of a chain whose last word matched is at this item word or before, ending here
     count = np.zeros(n, dtype=np.int32)
     best, most = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int32)  # the best chain that ends before this word
     for i in range(m):
         near_row = row - 0.5
         before = np.concatenate(([low], near_row[:-1]))
-        gap = np.maximum.accumulate(before + cost)
-        index = np.maximum.accumulate(np.where(before + cost >= gap, np.arange(n), 0))
+        gap = np.maximum.accumulate(before + after)
+        index = np.maximum.accumulate(np.where(before + after >= gap, np.arange(n), 0))
         close, close_count = gap - cost, np.concatenate(([0], count[:-1]))[index]
-        jump = best[:-1] - JUMP
-        fresh = jump > close + 0.5
-        score = np.where(fresh, jump, np.minimum(close + 0.5, low * -1)) + 1
+        new = best[:-1] - paid
+        fresh = new > close + 0.5
+        score = np.where(fresh, new, np.minimum(close + 0.5, low * -1)) + 1
         counted = np.where(fresh, most[:-1], close_count) + 1
         match = text == item[i]
         row, count = np.where(match, score, near_row), np.where(match, counted, count)

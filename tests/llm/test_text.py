@@ -198,6 +198,31 @@ def test_leaks(spark):
     assert leakage.find_leaks(docs.limit(0), items).collect() == [] and leakage.find_leaks(docs, items.limit(0)).collect() == []
 
 
+def scattered(item, share, parts):
+    """The first of ``share`` of the item's words of each of ``parts`` stretches, with other text between."""
+    w = leakage.words(item)
+    each = -(-len(w) * share // (100 * parts))
+    cuts = [len(w) * k // parts for k in range(parts + 1)]
+    return FILL.join([""] + [" ".join(w[a : min(a + each, b)]) + " " for a, b in zip(cuts, cuts[1:])] + [""])
+
+
+def test_half_leaks_in_a_few_passages_are_found():
+    items = {k: " ".join(f"{ITEM if k % 2 else OTHER}".split()[k % 5 :]) for k in range(10)}
+    index = leakage.Index(list(items.items()))
+    for share, parts in ((52, 3), (60, 3), (60, 4)):
+        for k, item in items.items():
+            texts = [[index.vocabulary.get(w, 0) for w in leakage.words(scattered(item, share, parts))]]
+            assert k in {i for _, i, _ in index.leaks(texts)}, (share, parts, k)
+
+
+def test_items_of_a_few_words_are_found():
+    items = {1: "Bratt", 2: "Bratt fjell", 3: "Hva koster melk", 4: "Hvem skrev den korte boken", 5: " ".join(ITEM.split()[:9])}
+    index = leakage.Index(list(items.items()))
+    for k, item in items.items():
+        ids = [[index.vocabulary.get(w, 0) for w in leakage.words(t)] for t in (FILL + item + " " + FILL, FILL)]
+        assert (0, k) in {(n, i) for n, i, _ in index.leaks(ids)} and 1 not in {n for n, _, _ in index.leaks(ids)}
+
+
 def test_long_damaged_texts_take_linear_time(written):
     text = "b?t {x} R|r [y] Kjшp " * 20_000
     damaged, restored, complete, _ = encoding.repair(text, written)
