@@ -1,10 +1,11 @@
 """Postal addresses that denote one location, however they are written.
 
 Each address is expanded into all plausible normalised forms of its street
-(abbreviations and accents undone, up to one letter left out anywhere), each
-form is hashed together with the town, the house number and the letter, the
-hashes are exploded and joined, and pairs that share one are compared;
-conflicting house numbers never share a hash. What is linked is one location.
+(abbreviations and accents undone, as many letters left out anywhere as may be
+slips), each form is hashed together with the town, the hashes are exploded and
+joined, and spellings that share one are compared; of spellings that are one
+street, equal house numbers and letters are linked. What is linked is one
+location.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ _SPLIT_KIND = frozenset(form for form, _ in _WRITTEN if len(form) > 2)
 #: Two spellings are two streets if either has at least this many house numbers
 #: in the town and neither this many times as many as the other.
 ESTABLISHED, OUTNUMBERED = 3, 4
+#: Stems of fewer letters may have one slip, others two.
+TWO_SLIPS = 8
 #: A town written this many times as often as one that is nearly it is meant by it.
 RARE = 10
 
@@ -224,7 +227,7 @@ def _forms(stem: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def _one_street(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([near(x, y, 1 if min(len(x), len(y)) < 8 else 2) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([near(x, y, 1 if min(len(x), len(y)) < TWO_SLIPS else 2) for x, y in zip(a, b)], dtype=bool)
 
 
 def _settled(placed: DataFrame) -> DataFrame:
@@ -270,16 +273,21 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
 
     spelled = placed.groupBy(*spot).agg(F.count("*").alias("n"))
     houses = spelled.groupBy("place", "form", "stem", "kind").agg(F.count_distinct("number", "letter").alias("_houses"))
-    streets = spelled.where("form = 'street'").join(houses, ["place", "form", "stem", "kind"])
-    streets = streets.withColumn("_id", F.xxhash64(*spot))
-    hashed = streets.select("_id", "stem", "_houses", F.explode(_forms(F.col("stem"))).alias("_form"), "place", "kind", "number", "letter")
-    hashed = hashed.select("_id", "stem", "_houses", F.xxhash64("place", "kind", "number", "letter", "_form").alias("_hash"))
+    # Spellings are compared as streets of a town, whatever houses they were written for.
+    streets = houses.where("form = 'street'").select("place", "kind", "stem", "_houses")
+    once = streets.withColumn("_form", F.explode(_forms(F.col("stem"))))
+    twice = once.where(F.length("stem") >= TWO_SLIPS).withColumn("_form", F.explode(_forms(F.col("_form"))))
+    hashed = once.unionByName(twice).select("place", "kind", "stem", "_houses", F.xxhash64("place", "kind", "_form").alias("_hash")).distinct()
     a, b = hashed.alias("a"), hashed.alias("b")
     fewer, more = F.least("a._houses", "b._houses"), F.greatest("a._houses", "b._houses")
     two_streets = (fewer >= ESTABLISHED) & (fewer * OUTNUMBERED > more)
-    pairs = a.join(b, (F.col("a._hash") == F.col("b._hash")) & (F.col("a._id") < F.col("b._id")) & ~two_streets)
-    pairs = pairs.select(F.col("a._id").alias("a"), F.col("b._id").alias("b"), F.col("a.stem").alias("_x"), F.col("b.stem").alias("_y")).distinct()
-    links = pairs.where(_one_street("_x", "_y")).select("a", "b")
+    alike = (F.col("a._hash") == F.col("b._hash")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.kind") == F.col("b.kind"))
+    pairs = a.join(b, alike & (F.col("a.stem") < F.col("b.stem")) & ~two_streets)
+    pairs = pairs.select("a.place", "a.kind", F.col("a.stem").alias("stem"), F.col("b.stem").alias("_other")).distinct().where(_one_street("stem", "_other"))
+    spots = spelled.where("form = 'street'").select(*spot)
+    ids = spots.select(F.xxhash64(*spot).alias("b"))
+    other = [F.col("_other") if c == "stem" else F.col(c) for c in spot]
+    links = spots.join(pairs, ["place", "kind", "stem"]).select(F.xxhash64(*spot).alias("a"), F.xxhash64(*other).alias("b")).join(ids, "b", "left_semi").select("a", "b")
     classes = components(links)
     located = placed.withColumn("_id", F.xxhash64(*spot)).join(classes, F.col("_id") == F.col("node"), "left")
     return located.select(F.col("_key").alias(key), F.coalesce("component", "_id").alias("location"))

@@ -163,3 +163,10 @@ def test_deep_and_long_pages():
 @pytest.mark.parametrize("html", [None, "", "   ", "<![if>", "<a <b <c"])
 def test_odd_markup(html):
     assert [x[2] is not None for x in boilerplate.page_lines(html, "a\n\nb", "http://h.example/x")] == [True, True]
+
+
+def test_two_slips_at_different_places_are_one_street(spark):
+    rows = [(1, "Norelysgrend 34A", "7777"), (2, "Nordlysgrnnd 34A", "7777"), (3, "Norelysgrend 35", "7777"), (4, "Nordlysgrnnd 36", "7777"), (5, "Hjorneeggveien 50", "7777"), (6, "Hjoteeggveien 50", "7777")]
+    df = spark.createDataFrame([(k, a, c, "Strandvik") for k, a, c in rows], "record long, address string, code string, town string")
+    got = addresses.same_location(addresses.locate(df, "record", "address", "code", "town")).collect()
+    assert {(r.record_a, r.record_b) for r in got} == {(1, 2), (5, 6)}
