@@ -65,8 +65,8 @@ def _decode(raw: bytes, encoding: str) -> str | None:
 
 
 @lru_cache(maxsize=1)
-def garbled_sequences() -> dict[str, tuple[str, str]]:
-    """Garbled sequence to original and pair of encodings, for all sequences of several characters."""
+def _sequences() -> tuple[dict[str, tuple[str, str]], dict[str, tuple[str, str]]]:
+    """Garbled sequence to original and pair of encodings, for all sequences of several characters: those that show damage wherever they stand, and those that might be meant."""
     known: dict[str, tuple[str, str]] = {}
     originals = [chr(c) for low, high in RANGES for c in range(low, high) if unicodedata.category(chr(c)) != "Cn"]
     for encoding in READ_AS:
@@ -74,14 +74,25 @@ def garbled_sequences() -> dict[str, tuple[str, str]]:
         for depth in range(DEPTH):
             level = {g: c for c, text in level.items() if (g := _decode(text.encode("utf-8"), encoding)) and len(g) > 1 and not g.isascii()} if depth == 0 else {g: c for text, c in level.items() if (g := _decode(text.encode("utf-8"), encoding))}
             for garbled, original in level.items():
-                known.setdefault(garbled, (original, f"utf-8 as {encoding}" + f" {depth + 1} times" * (depth > 0)))
+                told = original, f"utf-8 as {encoding}" + f" {depth + 1} times" * (depth > 0)
+                before = known.setdefault(garbled, told)[0]
+                # Of several originals the one that is a letter of these languages, æ, ø and å first.
+                if original in LETTERS and (before not in LETTERS or (LETTERS.index(original) < 6 <= LETTERS.index(before) and garbled.isalpha() and not any(c in "ÃÂÅÄ" for c in garbled))):
+                    known[garbled] = told
     # Letters of a script don't show damage by standing beside one another.
-    known = {g: v for g, v in known.items() if not all(unicodedata.category(c)[0] == "L" for c in g) or any(c in "ÃÂÅÄ" for c in g) or (len(g) > 2 and max(g) < "\u0250")}
-    for garbled, (original, pair) in list(known.items()):
-        lowered = garbled.lower()
-        if lowered != garbled and original.lower() != original.upper() and len(lowered) == len(garbled):
-            known.setdefault(lowered, (original.lower(), pair + ", then lower case"))
-    return known
+    plain = {g: v for g, v in known.items() if not all(unicodedata.category(c)[0] == "L" for c in g) or any(c in "ÃÂÅÄ" for c in g) or (len(g) > 2 and max(g) < "\u0250")}
+    open_ = {g: v for g, v in known.items() if g not in plain and v[0].isalpha() and v[0] < "\u0250" and any(c.lower() not in _PLAIN for c in g)}
+    for group in (plain, open_):
+        for garbled, (original, pair) in list(group.items()):
+            lowered = garbled.lower()
+            if lowered != garbled and original.lower() != original.upper() and len(lowered) == len(garbled) and lowered not in plain:
+                group.setdefault(lowered, (original.lower(), pair + ", then lower case"))
+    return plain, open_
+
+
+def garbled_sequences() -> dict[str, tuple[str, str]]:
+    """Those that show damage wherever they stand."""
+    return _sequences()[0]
 
 
 @lru_cache(maxsize=1)
@@ -119,6 +130,18 @@ def automaton():
     return found
 
 
+@lru_cache(maxsize=1)
+def open_automaton():
+    """The sequences of letters that only their context tells."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for garbled, (original, pair) in _sequences()[1].items():
+        found.add_word(garbled, (garbled, original, pair))
+    found.make_automaton()
+    return found
+
+
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz" + LETTERS.lower())
 _OTHER = re.compile("[^" + "".join(sorted(_PLAIN)) + "]+")
 
@@ -164,6 +187,40 @@ def _score(text: str, i: int, letter: str, written) -> int:
     return min(written.get(word[k : k + 3], 0) for k in range(len(word) - 2))
 
 
+def _misread(text: str, free: list[bool], spans: list[tuple[int, int, str]], written) -> list[tuple[int, int, str, str]]:
+    """``(start, end, original, pair)`` of the sequences of letters that their context shows to be damage.
+
+    A sequence of another script is damage against a Latin letter, unless it
+    also stands against a letter of that script. Any sequence is where the
+    trigrams around its original are written; of another script, only if the
+    value has no further letters beyond Latin.
+    """
+    met = [(end - len(g) + 1, end + 1, original, pair) for end, (g, original, pair) in open_automaton().iter_long(text)]
+    met = [m for m in met if all(free[m[0] : m[1]])]
+    if not met:
+        return []
+    inside = {i for start, end, *_ in met for i in range(start, end)}
+    latin_only = not any(c.isalpha() and c > "\u024f" and i not in inside for i, c in enumerate(text))
+    read, places, place, at = [], {}, 0, 0  # the value with every original in place, for the trigrams that run over several
+    for start, end, original in sorted([m[:3] for m in met] + spans):
+        read.append(text[at:start])
+        place += start - at
+        places[start] = place
+        read.append(original)
+        place, at = place + len(original), end
+    whole = "".join(read) + text[at:]
+    out = []
+    for start, end, original, pair in met:
+        around = [text[i] for i in (start - 1, end) if 0 <= i < len(text) and text[i].isalpha() and i not in inside]
+        latin = any(c <= "\u024f" for c in around)
+        other = text[start] > "\u024f"
+        if other and latin and all(c <= "\u024f" for c in around):
+            out.append((start, end, original, pair))
+        elif (latin_only or not other) and original.lower() in _PLAIN and _score(whole, places[start], original, written):
+            out.append((start, end, original, pair))
+    return out
+
+
 def _foreign(text: str, i: int) -> bool:
     """Whether a letter of another script stands in a word of that script."""
     if not (text[i].isalpha() and ord(text[i]) > 0x24F):
@@ -204,6 +261,15 @@ def repair(text: str | None, written) -> tuple[bool, str | None, bool, list[str]
             pairs[pair] += 1
         else:
             singles.append((start, garbled))
+    free = [True] * len(text)
+    for start, end, _ in spans:
+        free[start:end] = [False] * (end - start)
+    told = _misread(text, free, spans, written)
+    for start, end, original, pair in told:
+        spans.append((start, end, original))
+        pairs[pair] += 1
+        free[start:end] = [False] * (end - start)
+    singles = [(i, c) for i, c in singles if free[i]]
     fitting: list[tuple[int, list[str]]] = []
     for i, c in singles:
         before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]

@@ -135,6 +135,14 @@ def test_meant_characters_stay(written, text):
     assert encoding.repair(text, written)[:2] == (False, text)
 
 
+@pytest.mark.parametrize("read_as", ["cp1251", "iso8859-5", "cp1250", "iso8859-2", "cp1253", "iso8859-7", "cp1257"])
+def test_letters_of_other_scripts_in_a_word_are_misread_utf8(written, read_as):
+    for text in ("Rør og båt", "Blåbær", "på tur"):
+        assert encoding.repair(encoding._decode(text.encode(), read_as), written)[:2] == (True, text)
+    for text in ("Гёте Бюро", "Γέφυρα", "Чайка ГҐ Импорт"):
+        assert encoding.repair(text, written)[0] is False
+
+
 def test_lost_characters_are_found(written):
     for text in ("B�t", "R?r og b?t", "Kj?p p? nett"):
         damaged, _, complete, _ = encoding.repair(text, written)
