@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 from urllib.parse import unquote, urlsplit
 
@@ -134,6 +135,29 @@ def _name(text: str) -> str:
     return re.sub(r"[^a-z0-9]", "", fold(text))
 
 
+def _aligned(choices: list) -> list[tuple[int, int]]:
+    """The longest ``(line, place)`` in the order of both, of the ascending places that each line may take.
+
+    A line that also stands far below can't take those between along with it.
+    """
+    ends: list[int] = []  # the least place at which a chain of each length ends
+    last: list[tuple[int, int, tuple | None]] = []
+    for i, places in enumerate(choices):
+        for j in reversed(places):
+            n = bisect_left(ends, j)
+            link = i, j, last[n - 1] if n else None
+            if n == len(ends):
+                ends.append(j)
+                last.append(link)
+            else:
+                ends[n], last[n] = j, link
+    out, link = [], last[-1] if last else None
+    while link is not None:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
 def page_lines(html: str | None, text: str | None, url: str | None) -> list[tuple]:
     """``(line_no, length, text, node, style, branch, named, teaser, heading)`` of each line of ``text``.
 
@@ -153,12 +177,11 @@ def page_lines(html: str | None, text: str | None, url: str | None) -> list[tupl
         parser._flush()
     squeezed = [" ".join(line.split()) for line in shown]
     place: list[int | None] = [None] * len(shown)
-    k = 0
-    for i, line in enumerate(squeezed):  # both run in the order of the page
-        for j in range(k, min(k + 50, len(parser.lines))):
-            if parser.lines[j][0] == line:
-                place[i], k = parser.lines[j][1], j + 1
-                break
+    stands: dict[str, list[int]] = {}
+    for j, (line, _) in enumerate(parser.lines):
+        stands.setdefault(line, []).append(j)
+    for i, j in _aligned([stands.get(line, ()) for line in squeezed]):
+        place[i] = parser.lines[j][1]
     title = " ".join("".join(parser.title).split())
     titles = {t.strip() for t in re.split(r"\s[|–—·-]\s", title)[:1]} | {title, title.split(" | ")[0]}
     try:

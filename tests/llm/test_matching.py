@@ -170,3 +170,9 @@ def test_two_slips_at_different_places_are_one_street(spark):
     df = spark.createDataFrame([(k, a, c, "Strandvik") for k, a, c in rows], "record long, address string, code string, town string")
     got = addresses.same_location(addresses.locate(df, "record", "address", "code", "town")).collect()
     assert {(r.record_a, r.record_b) for r in got} == {(1, 2), (5, 6)}
+
+
+def test_lines_behind_a_long_hidden_run_are_placed():
+    html = "<body><ul>" + "".join(f"<li>valg {i}</li>" for i in range(80)) + "</ul><div><h1>Om oss</h1><p>Vi bygger.</p></div></body>"
+    rows = boilerplate.page_lines(html, "Om oss\nVi bygger.", "https://a.example/om-oss")
+    assert [r[0] for r in rows] == [1, 2] and all(r[5] is not None for r in rows) and rows[0][5] == rows[1][5]
