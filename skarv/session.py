@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,28 +32,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (tests on one machine) a folder of our own is made.
+    Only where that is unset and the session runs in one process (tests), a
+    folder of our own is made. A cluster without the setting is refused: its
+    executors would each write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or None
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named is None:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             return context.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"skarv-shared-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not context.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: The folders that ``cut`` wrote and nothing has removed yet.
+_WRITTEN: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage.
+    """``df`` as a written table in the shared folder: no lineage, and sizes that adaptive plans can see.
 
-    The frame is persisted while it is written, so that it is computed once.
+    The table outlives any executor. It goes when the application ends, or
+    earlier by ``release``.
     """
-    shared_dir(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return kept.checkpoint(eager=True)
-    finally:
-        kept.unpersist()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    place, files = _file_system(spark, path)
+    files.deleteOnExit(place)
+    df.write.parquet(path)
+    _WRITTEN.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Removes the tables behind frames that ``cut`` gave and that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_cut_path", None)
+        if path in _WRITTEN:
+            place, files = _file_system(frame.sparkSession, path)
+            files.delete(place, True)
+            _WRITTEN.discard(path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Removes all that ``cut`` wrote so far, for a session that goes on to other queries."""
+    for path in sorted(_WRITTEN):
+        place, files = _file_system(spark, path)
+        files.delete(place, True)
+    _WRITTEN.clear()
