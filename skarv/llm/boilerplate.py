@@ -292,7 +292,7 @@ def _site(url: str | None) -> tuple[str, str]:
 
 
 _LISTS = "line_no array<int>, length array<int>, line array<long>, element array<int>, named array<boolean>, teaser array<boolean>, heading array<boolean>, parent array<int>, node array<long>, style array<long>, flow array<boolean>"
-_PAGE = f"page_id long, host long, url long, title long, {_LISTS}, features array<struct<feature:long,form:long>>"
+_PAGE = f"page_id long, host long, url long, title long, {_LISTS}, feature array<long>, form array<long>"
 #: The feature that every page has; how many have it is the size of the host.
 SIZE = 0
 
@@ -302,18 +302,20 @@ def _names(schema: str) -> list[str]:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """All pages as lists of hashes; see ``read_page``. ``features`` are each page's distinct lines (of form 0) and nodes with their presentation."""
+    """All pages as lists of hashes; see ``read_page``. ``feature`` and ``form`` are each page's distinct lines (of form 0) and nodes with their presentation."""
     wanted = _names(_PAGE)
 
     def read(batches):
         for frame in batches:
-            rows = []
+            made: dict[str, list] = {c: [] for c in wanted}
             for page, url, html, text in zip(frame["page_id"], frame["source_url"], frame["html"], frame["text"]):
                 host, address = _site(url)
                 row = read_page(html, text, url)
                 features = {(SIZE, 0), (row["title"], 0), *((line, 0) for line in row["line"]), *((n, s) for n, s in zip(row["node"][1:], row["style"][1:]) if s)}
-                rows.append(row | {"page_id": page, "host": _hash(host or f"page {page}"), "url": _hash(address or f"page {page}"), "features": [{"feature": f, "form": s} for f, s in features]})
-            yield pd.DataFrame(rows, columns=wanted)
+                row |= {"page_id": page, "host": _hash(host or f"page {page}"), "url": _hash(address or f"page {page}"), "feature": [f for f, _ in features], "form": [s for _, s in features]}
+                for c in wanted:
+                    made[c].append(row[c])
+            yield pd.DataFrame(made)
 
     source = pages.where("page_id is not null and text is not null and text <> ''").select("page_id", "source_url", "html", "text")
     return source.mapInPandas(read, _PAGE)
@@ -329,7 +331,7 @@ def style_tree(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     is 1. All counts combine before the shuffle and none gathers the pages of
     a host, so one host may hold any share of them.
     """
-    seen = read.select("host", "url", F.inline("features")).distinct()
+    seen = read.select("host", "url", F.inline(F.arrays_zip("feature", "form"))).distinct()
     forms = seen.groupBy("host", "feature", "form").agg(F.count("*").alias("n"))
     merged = cut(forms.groupBy("host", "feature").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weighed"), F.max(F.col("form") != 0).alias("is_node")))
     spread = merged.where("not is_node").groupBy("feature").agg(F.count("*").alias("hosts")).where("hosts > 1")
@@ -338,13 +340,14 @@ def style_tree(read: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _told(pages: DataFrame, features: DataFrame, keys: list[str], values: list[str], wanted: DataFrame) -> DataFrame:
-    """``pages`` with ``_told``, the ``values`` of all features that ``wanted`` (``page_id`` and ``keys``) asks for.
+    """``pages`` with ``told_feature`` and the ``values`` as lists of all features that ``wanted`` (``page_id`` and ``keys``) asks for.
 
     Only features that ``features`` has travel, and a page is gathered whole,
     never a host.
     """
     found = wanted.join(features, keys).groupBy("page_id").agg(F.collect_list(F.struct("feature", *values)).alias("_told"))
-    return pages.join(found, "page_id", "left")
+    lists = [F.coalesce(F.col(f"_told.{c}"), F.array().cast("array<double>" if c == "weighed" else "array<long>")).alias(f"told_{c}") for c in ("feature", *values)]
+    return pages.join(found, "page_id", "left").select(*(c for c in pages.columns), *lists)
 
 
 class Branches:
@@ -444,16 +447,18 @@ _BRANCHED = "page_id long, host long, line_no array<int>, line array<long>, own
 
 
 def _each(frames: DataFrame, decide, schema: str) -> DataFrame:
-    """``decide`` over each page's columns; it gives a row, or several."""
+    """``decide`` over each page's columns."""
     wanted = _names(schema)
 
     def run(batches):
         for frame in batches:
-            rows: list[dict] = []
-            for row in zip(*(frame[c].tolist() for c in frame.columns)):
-                got = decide(dict(zip(frame.columns, row)))
-                rows += got if isinstance(got, list) else [got]
-            yield pd.DataFrame(rows, columns=wanted)
+            made: dict[str, list] = {c: [] for c in wanted}
+            columns = list(frame.columns)
+            for row in zip(*(frame[c].tolist() for c in columns)):
+                got = decide(dict(zip(columns, row)))
+                for c in wanted:
+                    made[c].append(got[c])
+            yield pd.DataFrame(made)
 
     return frames.mapInPandas(run, schema)
 
@@ -465,19 +470,19 @@ def _importance(many: float, of: float) -> float:
 
 def _branches(page: dict) -> dict:
     """One page: its branches' importance, what is removed, and the branches that name it."""
-    told = {t["feature"]: t for t in (page["_told"] if page["_told"] is not None else ())}
-    size, hosts = told[SIZE]["pages"], page["all_hosts"]
-    lines = page["line"].tolist() if hasattr(page["line"], "tolist") else list(page["line"])
+    told = {f: (m, w, h) for f, m, w, h in zip(*(page[f"told_{c}"].tolist() for c in ("feature", "pages", "weighed", "hosts")))}
+    size, hosts = told[SIZE][0], page["all_hosts"]
+    lines = page["line"].tolist()
     n = len(lines)
     own, web, constant, presentation = np.ones(n), np.ones(n), [False] * n, {}
     for i, f in enumerate(lines):
         if f in told:
-            own[i] = _importance(told[f]["pages"], size)
-            web[i] = _importance(told[f]["hosts"], hosts)
-            constant[i] = (own[i] < REPEATED and told[f]["pages"] >= REPEATS) or (web[i] < REPEATED and told[f]["hosts"] >= REPEATS)
+            own[i] = _importance(told[f][0], size)
+            web[i] = _importance(told[f][2], hosts)
+            constant[i] = (own[i] < REPEATED and told[f][0] >= REPEATS) or (web[i] < REPEATED and told[f][2] >= REPEATS)
     for f, s in zip(page["node"], page["style"]):
         if s:
-            m, weighed = (told[f]["pages"], told[f]["weighed"]) if f in told else (1, 0.0)
+            m, weighed = told[f][:2] if f in told else (1, 0.0)
             # -sum(p log_m p) with p = n / m
             presentation[f] = 1 - weighed / (m * math.log(m)) if m > 1 else 1.0
     out = {c: page[c] for c in ("page_id", "host", "line_no", "teaser", "heading")} | {"line": lines, "own": own, "named": page["named"]}
@@ -488,7 +493,7 @@ def _branches(page: dict) -> dict:
     # The fewer pages a host has, the more the merged tree of all hosts tells.
     line = np.minimum(own, web + (1 - web) * (1 - 1 / math.log2(size + 1)))
     length, named, teaser = np.asarray(page["length"]), np.asarray(page["named"]), np.asarray(page["teaser"])
-    found = Branches({c: (page[c].tolist() if hasattr(page[c], "tolist") else page[c]) for c in ("parent", "node", "flow", "element", "length")}, line.tolist(), constant, presentation)
+    found = Branches({c: page[c].tolist() for c in ("parent", "node", "flow", "element", "length")}, line.tolist(), constant, presentation)
     number = np.array([found.of(e) if e >= 0 else -1 for e in element.tolist()])
     first = np.concatenate(([True], number[1:] != number[:-1]))
     inside = {k: number == k for k in np.unique(number).tolist()}
@@ -496,7 +501,7 @@ def _branches(page: dict) -> dict:
     mass = {k: float((line[i] * length[i]).sum()) for k, i in inside.items()}
     # A title that every page of the host repeats names none of them.
     title = told.get(page["title"])
-    if title is not None and title["pages"] >= REPEATS and _importance(title["pages"], size) < REPEATED:
+    if title is not None and title[0] >= REPEATS and _importance(title[0], size) < REPEATED:
         named = no
     naming = [k for k, i in inside.items() if k >= 0 and named[i].any()]
     telling = [k for k in naming if importance[k] >= REMOVED] or naming
@@ -512,11 +517,10 @@ def _branches(page: dict) -> dict:
     return out | {"named": named, "branch": number, "kept": kept, "main": number == body, "body": alike, "first": first, "place": found.places, "mass": weight, "flat": False}
 
 
-def _page_body(page: dict) -> list[dict]:
+def _page_body(page: dict) -> dict:
     """The lines of one page's body."""
-    told = {t["feature"]: t for t in (page["_told"] if page["_told"] is not None else ())}
-    lines = [told.get(f) for f in page["line"]]
-    text_body, box_count, box_first = (np.array([t[c] if t else 0 for t in lines]) for c in ("bodies", "boxes", "box_firsts"))
+    told = {f: counts for f, *counts in zip(*(page[f"told_{c}"].tolist() for c in ("feature", "bodies", "boxes", "box_firsts")))}
+    text_body, box_count, box_first = np.array([told.get(f, (0, 0, 0)) for f in page["line"].tolist()], dtype=np.int64).reshape(-1, 3).T
     box = box_count > text_body
     named, teaser, heading, number = (np.asarray(page[c]) for c in ("named", "teaser", "heading", "branch"))
     box_heading = (box_first > text_body) & heading
@@ -526,7 +530,7 @@ def _page_body(page: dict) -> list[dict]:
         body = np.asarray(page["body"])
         if not body.any():  # the page isn't named: its host's body nodes, less what boxes hold
             places = page["place"]
-            nodes = np.array([k >= 0 and places[k] in told and told[places[k]]["bodies"] > 0 for k in number.tolist()], dtype=bool)
+            nodes = np.array([k >= 0 and places[k] in told and told[places[k]][0] > 0 for k in number.tolist()], dtype=bool)
             body = np.asarray(page["kept"]) & nodes & (number >= 0)
             for k in np.unique(number[body]):
                 if box[number == k].all():
@@ -542,7 +546,7 @@ def _page_body(page: dict) -> list[dict]:
                 keep |= mine
         if keep.any() and not named[keep].any() and not (np.asarray(page["own"])[keep] > 0.5).any():
             keep[:] = False
-        return [{"page_id": page["page_id"], "line_no": int(i)} for i in np.asarray(page["line_no"])[keep]]
+        return {"page_id": page["page_id"], "line_no": np.asarray(page["line_no"])[keep]}
     ends = box | teaser
     starts = np.flatnonzero(named & ~teaser).tolist()
 
@@ -566,7 +570,7 @@ def _page_body(page: dict) -> list[dict]:
         keep[start : run_from(start)] = True
         if keep.sum() == 1 and not starts:
             keep[:] = False
-    return [{"page_id": page["page_id"], "line_no": int(i)} for i in np.asarray(page["line_no"])[keep]]
+    return {"page_id": page["page_id"], "line_no": np.asarray(page["line_no"])[keep]}
 
 
 def body_lines(pages: DataFrame) -> DataFrame:
@@ -582,8 +586,8 @@ def body_lines(pages: DataFrame) -> DataFrame:
     """
     read = cut(read_pages(pages))
     tree, hosts = style_tree(read)
-    wanted = read.select("page_id", "host", F.explode(F.array_distinct(F.transform("features", lambda f: f["feature"]))).alias("feature"))
-    weighed = _told(read.drop("features", "url"), tree, ["host", "feature"], ["pages", "weighed", "hosts"], wanted).join(F.broadcast(hosts))
+    wanted = read.select("page_id", "host", F.explode(F.array_distinct("feature")).alias("feature"))
+    weighed = _told(read.drop("feature", "form", "url"), tree, ["host", "feature"], ["pages", "weighed", "hosts"], wanted).join(F.broadcast(hosts))
     branched = cut(_each(weighed, _branches, _BRANCHED))
 
     # What stands in bodies and what in boxes, over all pages that tell.
@@ -602,4 +606,4 @@ def body_lines(pages: DataFrame) -> DataFrame:
     asked = branched.select("page_id", F.explode(F.array_distinct("line")).alias("feature")).select("page_id", no_host.alias("host"), "feature")
     asked = asked.unionByName(branched.where("not exists(body, b -> b)").select("page_id", "host", F.explode(F.array_distinct("place")).alias("feature")))
     known = _told(branched.drop("mass", "host"), counts, ["host", "feature"], ["bodies", "boxes", "box_firsts"], asked)
-    return _each(known, _page_body, "page_id long, line_no long")
+    return _each(known, _page_body, "page_id long, line_no array<long>").select("page_id", F.explode("line_no").alias("line_no"))
