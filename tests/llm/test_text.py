@@ -143,6 +143,35 @@ def test_letters_of_other_scripts_in_a_word_are_misread_utf8(written, read_as):
         assert encoding.repair(text, written)[0] is False
 
 
+@pytest.mark.parametrize("chain", [("cp1252", "cp850"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman", "cp1252"), ("latin-1", "cp850", "cp437")])
+def test_encodings_misread_one_after_the_other(written, chain):
+    for text in ("Blåbær og øl på båt", "KJØP SALG", "Kafé på kaia"):
+        garbled = text
+        for read_as in chain:
+            garbled = encoding._decode(garbled.encode(), read_as)
+        damaged, restored, complete, _ = encoding.repair(garbled, written)
+        assert damaged and (restored == text or not complete)
+        assert restored == text
+
+
+@pytest.mark.parametrize("text", ["東京タワー", "日本語のテキスト", "مرحبا بالعالم", "שלום", "Fest 🎉 i kveld", "한국어"])
+@pytest.mark.parametrize("read_as", ["cp1252", "latin-1", "mac_roman"])
+def test_other_scripts_misread(written, text, read_as):
+    assert encoding.repair(encoding._decode(text.encode(), read_as), written)[:3] == (True, text, True)
+    assert encoding.repair(text, written)[:2] == (False, text)
+
+
+def test_signs_that_meet_letters_by_chance_stay(written):
+    for text in ("Vi går på…» sa hun", "Øl fra «Ø»", "«Ærlig» og «Åpen»", "så…” og nå…”", "é¿ og à¡", "работа и её «смысл…»"):
+        assert encoding.repair(text, written)[:2] == (False, text)
+
+
+def test_what_one_pair_of_encodings_made_is_restored_throughout(written):
+    assert encoding.repair("R¯r og b‚t", {**written, "b‚t": 9})[0]
+    assert encoding.repair("Kj¯p p y¯xw", written)[:3] == (True, "Kjøp p yøxw", True)
+    assert encoding.repair("Kj¯p q≈w", written)[:3] == (True, "Kjøp q≈w", False)
+
+
 def test_lost_characters_are_found(written):
     for text in ("B�t", "R?r og b?t", "Kj?p p? nett"):
         damaged, _, complete, _ = encoding.repair(text, written)
