@@ -41,6 +41,8 @@ SHORT = 30
 #: Walks are repeated until so many leaks are met in which this share of the words is changed.
 RECALL, EDITED = 0.999, 0.3
 MOST_WALKS, TRIALS, SEED = 64, 2000, 20240229
+#: As many times the walks that the trials need are made, for leaks unlike the trials.
+SPARE = 2
 #: Words of documents that are looked up at once.
 CHUNK = 200_000
 #: A word pair's steps from word to word, in the document and in the item.
@@ -178,7 +180,7 @@ class Index:
                 if not np.isin(its, mine).any():
                     still.append(n)
             open_ = still
-        return walks
+        return walks + [Walk(rng, unknown + 1) for _ in range((SPARE - 1) * len(walks))]
 
     def _all_pairs(self) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """The word pairs of the short items: steps in the document and in the item, keys, items and places."""
