@@ -1,11 +1,11 @@
 """Postal addresses that denote one location, however they are written.
 
 Each address is expanded into all plausible normalised forms of its street
-(abbreviations and accents undone, as many letters left out anywhere as may be
-slips), each form is hashed together with the town, the hashes are exploded and
-joined, and spellings that share one are compared; of spellings that are one
-street, equal house numbers and letters are linked. What is linked is one
-location.
+(abbreviations and accents undone, with and without the words that qualify its
+name, as many letters left out anywhere as may be slips), each form is hashed
+together with the town, the hashes are exploded and joined, and spellings that
+share one are compared; of spellings that are one street, equal house numbers
+and letters are linked, others are rejected. What is linked is one location.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarv.llm.linking import components
-from skarv.session import cut
+from skarv.session import cut, release
 
 #: How a kind of street is written, the longest forms first.
 KINDS = {
@@ -33,10 +33,12 @@ KINDS = {
     "torget": ("torget", "torg"),
 }
 _WRITTEN = sorted(((form, kind) for kind, forms in KINDS.items() for form in forms), key=lambda x: -len(x[0]))
+#: Words before the name of a street that tell it from others of that name.
+QUALIFIERS = frozenset("ovre nedre indre ytre midtre nordre sondre vestre ostre store lille gamle nye gml".split())
 #: An ending that may be short for one kind, or for another after an s of the stem.
 EITHER = "sv"
 _LONG = [(forms[0], kind) for kind, forms in KINDS.items()] + [("vegen", "veien"), ("gaten", "gata")]
-_SPLIT_KIND = frozenset(form for form, _ in _WRITTEN if len(form) > 2)
+_SPLIT_KIND = frozenset(form for form, _ in _WRITTEN if len(form) > 2 or form in ("gt", "vn"))
 #: Two spellings are two streets if either has at least this many house numbers
 #: in the town and neither this many times as many as the other.
 ESTABLISHED, OUTNUMBERED = 3, 4
@@ -54,10 +56,12 @@ _UNIT = re.compile(
     r"\b\d{1,2}\s*\.?\s*(?:etasje|etg|et|etasj)\b\.?|\b(?:etasje|etg)\b\.?\s*\d{1,2}\b|\b[hluk]\d{4}\b"
     r"|\b(?:inngang|oppgang|bygg|bygning|lokale|seksjon|leilighet|leil|rom|enhet|hus|blokk|port)\b\.?\s*(?:nr\.?\s*)?(?:\d{1,3}[a-z]?|[a-z])\b"
 )
-_BOX = re.compile(r"\b(?:postboks|postb|p\.?\s?b|p\.?\s?o\.?\s?box|po\s?box|boks|box)\b\.?\s*(?:nr\b\.?|no\b\.?|#)?\s*(\d{1,5})\b")
+_BOX = re.compile(r"\b(?:postboks|postb|p\.?\s?b|p\.?\s?o\.?\s?box|po\s?box|boks|box)\b\.?\s*(?:nr\b\.?|no\b\.?|#)?\s*(\d+)\b")
 _CODE = re.compile(r"(?<![\d#])(?:\b(?:no|n)\s*[- ]?\s*)?(?<!\d)(\d{4})(?!\d)")
 _NUMBER_WORD = re.compile(r"\b(?:nr|no|nummer)\b\.?\s*(?=\d)|#\s*(?=\d)")
-_HOUSE = re.compile(r"(?<![\w])(\d{1,3})\s*-?\s*([a-z])?(?!\w)")
+_HOUSE = re.compile(r"(?<![\w])(\d{1,5})\s*-?\s*([a-z])?(?!\w)")
+#: More digits are no number of a house or box.
+_DIGITS = 9
 _TOKEN = re.compile(r"[^\W\d_][^\W\d_.'-]*\.?|\d+")
 
 
@@ -100,10 +104,33 @@ def near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def _code(text: str, given: str | None) -> re.Match | None:
+    """The postal code in ``text``: marked as one, else the last number of four digits that isn't a street's.
+
+    A number right behind the name of a street is its house number, if another
+    one can be the code or the code is given, or if it begins with no zero and
+    no other number is left for the house.
+    """
+    found = list(_CODE.finditer(text))
+    free = []
+    for m in found:
+        if not m[0][0].isdigit():
+            return m
+        word = re.search(r"([^\W\d_]+)\.?\s*$", text[: m.start()])
+        if not word or not _kind(word[1])[2] > 1:
+            free.append(m)
+    if free:
+        return free[-1]
+    if not found or given or (not found[-1][1].startswith("0") and not re.search(r"\d", _CODE.sub("", text))):
+        return None
+    return found[-1]
+
+
 def parse(address: str | None, code: str | None = None, town: str | None = None) -> tuple | None:
-    """``(form, stem, kind, number, letter, code, town)``, all folded; ``form`` is street or box.
+    """``(form, stem, kind, number, letter, code, town, ahead)``, all folded; ``form`` is street or box.
 
-    Null if there is neither a numbered street nor a numbered box.
+    ``ahead`` are words before the name of the street that may be of it. Null
+    if there is neither a numbered street nor a numbered box.
     """
     if not address or not address.strip():
         return None
@@ -114,15 +141,18 @@ def parse(address: str | None, code: str | None = None, town: str | None = None)
         text = shorter
     text = _UNIT.sub(" , ", text)
     boxed = _BOX.search(text)
+    if boxed and len(boxed[1]) > _DIGITS:
+        return None
     if boxed:
         text = text[: boxed.start()] + " , " + text[boxed.end() :]
-    found = _CODE.search(text)
+    given = code if code and re.fullmatch(r"\s*\d{4}\s*", code) else None
+    found = _code(text, given)
     if found:
         code = code or found.group(1)
         text = text[: found.start()] + " , " + text[found.end() :]
-    code = code if code and re.fullmatch(r"\d{4}", code.strip()) else None
+    code = code.strip() if code and re.fullmatch(r"\s*\d{4}\s*", code) else None
     text = _NUMBER_WORD.sub("", text)
-    stem = kind = letter = ""
+    stem = kind = letter = ahead_of = ""
     number = None
     if boxed:
         number = int(boxed.group(1))
@@ -139,13 +169,20 @@ def parse(address: str | None, code: str | None = None, town: str | None = None)
                 told = _kind("".join(words[-many:] if ahead else words[:many]))
                 # Ahead of the number, unless what follows it is a street more plainly.
                 if best is None or (told[2] > 2 and best[1][2] <= 2):
-                    best = ahead, told, words[:-many] if ahead else words[many:]
+                    best = ahead, told, words[:-many] if ahead else words[many:], many
             if best is None:
                 continue
-            ahead, (stem, kind, _), rest = best
+            ahead, (stem, kind, _), rest, many = best
             number, letter = int(house.group(1)), house.group(2) or ""
             left_cut = text[: house.start() - len(left)] if ahead else text[: house.start()]
             right_cut = text[house.end() :] if ahead else text[house.end() + len(right) :]
+            if ahead and rest:
+                # Of "Karl Johans gate" the name goes on before it, of "Øvre Storgata" by known words only.
+                begin = 0 if many == 2 and stem.endswith("s") else len(rest)
+                while begin > 0 and rest[begin - 1] in QUALIFIERS:
+                    begin -= 1
+                ahead_of = " ".join(rest[begin:])
+                rest = rest[:begin]
             text = left_cut + " , " + " ".join(rest) + " , " + right_cut
             break
         if number is None:
@@ -153,16 +190,16 @@ def parse(address: str | None, code: str | None = None, town: str | None = None)
     if not town:
         names = [" ".join(re.findall(r"[^\W\d_]+", s)) for s in re.split(r"[,;/\n|]| - ", text)]
         names = [n for n in names if len(n) > 2]
-        town = max(names, key=len) if names else None
+        town = max(names, key=len) if names else ahead_of or None
     else:
         town = " ".join(re.findall(r"[^\W\d_]+", fold(town))) or None
-    return ("box" if boxed else "street", stem, kind, number, letter, code, town)
+    return ("box" if boxed else "street", stem, kind, number, letter, code, town, ahead_of)
 
 
 _PARSED = T.StructType(
     [
         T.StructField("form", T.StringType()), T.StructField("stem", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("number", T.IntegerType()),
-        T.StructField("letter", T.StringType()), T.StructField("code", T.StringType()), T.StructField("town", T.StringType()),
+        T.StructField("letter", T.StringType()), T.StructField("code", T.StringType()), T.StructField("town", T.StringType()), T.StructField("ahead", T.StringType()),
     ]
 )
 
@@ -170,7 +207,7 @@ _PARSED = T.StructType(
 def parsed(address: Column, code: Column, town: Column) -> Column:
     @F.pandas_udf(_PARSED)
     def run(addresses: pd.Series, codes: pd.Series, towns: pd.Series) -> pd.DataFrame:
-        rows = [parse(a, c, t) or (None,) * 7 for a, c, t in zip(addresses, codes, towns)]
+        rows = [parse(a, c, t) or (None,) * 8 for a, c, t in zip(addresses, codes, towns)]
         return pd.DataFrame(rows, columns=[f.name for f in _PARSED.fields]).astype({"number": "Int32"})
 
     return run.asNondeterministic()(address, code.cast("string"), town.cast("string"))  # lest a filter behind it parse twice
@@ -182,7 +219,7 @@ def town_names(rows: DataFrame) -> dict[str, str]:
     What reaches the driver is one row a postal code of four digits, so never
     more than 10,000 whatever the size of the table.
     """
-    counts = rows.where("code is not null and town is not null").groupBy("code", "town").agg(F.count("*").alias("n"))
+    counts = rows.where(F.col("code").rlike(r"^[0-9]{4}$") & F.col("town").isNotNull()).groupBy("code", "town").agg(F.count("*").alias("n"))
     most = counts.groupBy("code").agg(F.max_by("town", F.struct("n", "town")).alias("town"), F.max("n").alias("n"))
     known = {r.code: (r.town, r.n) for r in most.collect()}
     often: dict[str, int] = {}
@@ -231,11 +268,14 @@ def _one_street(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _settled(placed: DataFrame) -> DataFrame:
-    """``placed`` with each ``EITHER`` read as the kind that other records of the town have.
+    """``placed`` with each ``EITHER`` read as the kind that other records of the town have, and the stem qualified by the words ahead.
 
     Both plausible forms are expanded; the one that more records write out
     holds, by the whole stem or else by its last four letters.
     """
+    # The town may stand ahead of its street.
+    own = F.trim(F.when(F.startswith(F.concat("ahead", F.lit(" ")), F.concat("place", F.lit(" "))), F.expr("substring(ahead, length(place) + 1)")).otherwise(F.col("ahead")))
+    placed = placed.withColumn("_own", F.coalesce(F.replace(own, F.lit(" "), F.lit("")), F.lit("")))
     clear, open_ = placed.where(F.col("kind") != EITHER), placed.where(F.col("kind") == EITHER)
     whole = clear.where("form = 'street'").groupBy("place", "stem", "kind").agg(F.count("*").alias("n"))
     roots = whole.withColumn("stem", F.right("stem", F.lit(4))).groupBy("place", "stem", "kind").agg(F.sum("n").alias("n"))
@@ -245,7 +285,8 @@ def _settled(placed: DataFrame) -> DataFrame:
     told = told.withColumn("_root", F.right("as_stem", F.lit(4))).join(roots.select("place", F.col("stem").alias("_root"), F.col("kind").alias("as_kind"), F.col("n").alias("_roots")), ["place", "_root", "as_kind"], "left")
     rank = F.struct(F.coalesce("_whole", F.lit(0)), F.coalesce("_roots", F.lit(0)), F.col("as_kind"))
     best = told.groupBy("place", "stem").agg(F.max_by(F.struct("as_stem", "as_kind"), rank).alias("_best"))
-    return clear.unionByName(open_.join(best, ["place", "stem"]).withColumn("stem", F.col("_best.as_stem")).withColumn("kind", F.col("_best.as_kind")).drop("_best").select(clear.columns))
+    every = clear.unionByName(open_.join(best, ["place", "stem"]).withColumn("stem", F.col("_best.as_stem")).withColumn("kind", F.col("_best.as_kind")).drop("_best").select(clear.columns))
+    return every.withColumn("bare", F.col("stem")).withColumn("stem", F.concat("_own", "stem"))
 
 
 def locate(rows: DataFrame, key: str, address: str = "address", code: str | None = None, town: str | None = None) -> DataFrame:
@@ -268,10 +309,11 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
     known = town_names(read)
     placed = read.withColumn("place", place_in_town(F.col("code"), F.col("town"), known)).where("place is not null")
     spot = ["place", "form", "stem", "kind", "number", "letter"]
-    placed = _settled(cut(placed.select("_key", *spot))).select("_key", *spot)
-    placed = cut(placed)
+    settled = cut(placed.select("_key", *spot, "ahead"))
+    placed = cut(_settled(settled).select("_key", *spot, "bare"))
+    release(read, settled)
 
-    spelled = placed.groupBy(*spot).agg(F.count("*").alias("n"))
+    spelled = placed.groupBy(*spot, "bare").agg(F.count("*").alias("n"))
     houses = spelled.groupBy("place", "form", "stem", "kind").agg(F.count_distinct("number", "letter").alias("_houses"))
     # Spellings are compared as streets of a town, whatever houses they were written for.
     streets = houses.where("form = 'street'").select("place", "kind", "stem", "_houses")
@@ -284,6 +326,9 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
     alike = (F.col("a._hash") == F.col("b._hash")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.kind") == F.col("b.kind"))
     pairs = a.join(b, alike & (F.col("a.stem") < F.col("b.stem")) & ~two_streets)
     pairs = pairs.select("a.place", "a.kind", F.col("a.stem").alias("stem"), F.col("b.stem").alias("_other")).distinct().where(_one_street("stem", "_other"))
+    # A name without what qualifies it is the town's only street of that name.
+    qualified = spelled.where("form = 'street' and stem <> bare").groupBy("place", "kind", "bare").agg(F.min("stem").alias("stem"), F.max("stem").alias("_last")).where("stem = _last")
+    pairs = pairs.unionByName(qualified.select("place", "kind", F.col("bare").alias("stem"), F.col("stem").alias("_other")))
     spots = spelled.where("form = 'street'").select(*spot)
     ids = spots.select(F.xxhash64(*spot).alias("b"))
     other = [F.col("_other") if c == "stem" else F.col(c) for c in spot]
@@ -293,10 +338,20 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
     return located.select(F.col("_key").alias(key), F.coalesce("component", "_id").alias("location"))
 
 
+#: Records of a location that one task pairs with all others.
+TOGETHER = 1000
+
+
 def same_location(located: DataFrame, key: str = "record") -> DataFrame:
-    """All pairs ``record_a < record_b`` of one location, each once."""
+    """All pairs ``record_a < record_b`` of one location, each once.
+
+    A location's records are paired in blocks of about ``TOGETHER``, so that a
+    building with very many is the work of many tasks. Those who don't need
+    all pairs have the locations themselves.
+    """
     rows = located.select(F.col(key).alias("_k"), "location").distinct()
-    many = rows.groupBy("location").agg(F.count("*").alias("_n")).where("_n > 1").select("location")
-    rows = rows.join(many, "location", "left_semi")
-    a, b = rows.select("location", F.col("_k").alias("record_a")), rows.select("location", F.col("_k").alias("record_b"))
-    return a.join(b, "location").where("record_a < record_b").select("record_a", "record_b")
+    sizes = rows.groupBy("location").agg(F.ceil(F.count("*") / TOGETHER).alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = rows.join(sizes, "location")
+    a = rows.select("location", F.col("_k").alias("record_a"), F.pmod(F.xxhash64("_k"), "_blocks").alias("_block"))
+    b = rows.select("location", F.col("_k").alias("record_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    return a.join(b, ["location", "_block"]).where("record_a < record_b").select("record_a", "record_b")

@@ -330,6 +330,7 @@ def _met(found, text: str) -> list[tuple[int, int, str, str]]:
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ODD = re.compile(r"[^\x00-\x7FæøåÆØÅ]")
 _BRACKETED = re.compile(r"[\w .,&-]*")
 
 
@@ -377,8 +378,9 @@ def _level(text: str, written, first: bool) -> tuple[list[tuple[int, int, str]],
         pairs[pair] += 1
         free[start:end] = [False] * (end - start)
 
-    for found in _far(text):
-        take(*found)
+    if len(_ODD.findall(text)) > 1:
+        for found in _far(text):
+            take(*found)
     for start, end, original, pair in _met(automaton(), text):
         if not all(free[start:end]):
             continue
@@ -473,14 +475,15 @@ def find_damage(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFram
       Values of any length are read whole. An empty table has no damage.
     * ``restored`` has every restorable span replaced; ``complete`` tells
       whether that is all.
-    * Plain ASCII without a suspect sign never leaves the JVM.
+    * Values of ASCII and æ, ø and å alone without a suspect sign aren't damaged;
+      they leave the JVM for their trigrams only.
     """
     long = None
     for c in columns:
         part = rows.select(F.col(key), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
         long = part if long is None else long.unionByName(part)
-    long = long.where(F.col("value").rlike(r"[^\x00-\x7F]|[\[\]\\{}|?]"))
-    written = written_trigrams(long.select("value"))
+    written = written_trigrams(long.select("value").where(F.col("value").rlike(r"[^\x00-\x7F]")))
+    long = long.where(F.col("value").rlike(r"[^\x00-\x7FæøåÆØÅ]|[\[\]\\{}|?]"))
 
     @F.pandas_udf(_DAMAGE)
     def damage(values: pd.Series) -> pd.DataFrame:

@@ -46,6 +46,32 @@ def test_one_location(spark):
     assert locations(spark, []) == {}
 
 
+def test_streets_that_words_ahead_tell_apart(spark):
+    rows = [
+        ("Øvre Slottsgate 3", "0157", "Oslo"), ("Nedre Slottsgate 3, 0157 Oslo", None, None), ("ØVRE SLOTTSGT. 3, 0157 Oslo", None, None), ("Slottsgata 3", "0157", "OSLO"),
+        ("Karl Johans gate 31", "0159", "Oslo"), ("Oslo Karl Johans gt 31, 0159", None, None), ("Sven Johans gate 31, 0159 Oslo", None, None),
+        ("Øvre Torvgate 9", "7010", "Trondheim"), ("Torvgata 9, 7010 Trondheim", None, None),
+    ]
+    got = locations(spark, rows)
+    assert got[0] == got[2] and len({got[0], got[1], got[3]}) == 3
+    assert got[4] == got[5] != got[6]
+    assert got[7] == got[8]
+
+
+def test_numbers_of_four_digits(spark):
+    rows = [("Elveveien 1200", "8630", "Storforshei"), ("Elveveien 1200, 8630 Storforshei", None, None), ("8630 Storforshei, Elvevn. 1200", None, None), ("Elveveien 120", "8630", "Storforshei"), ("Elveveien 1200B", "8630", "Storforshei"), ("Postboks 123456, 8630 Storforshei", None, None), ("Postboks 123457, 8630 Storforshei", None, None)]
+    got = locations(spark, rows)
+    assert set(got) == set(range(len(rows))) and got[0] == got[1] == got[2]
+    assert len({got[i] for i in (0, 3, 4, 5, 6)}) == 5
+
+
+def test_a_building_with_very_many_records(spark):
+    many = 2 * addresses.TOGETHER + 500
+    located = spark.range(many).selectExpr("id as record", "'one' as location").union(spark.createDataFrame([(many, "two"), (many + 1, "two"), (many + 2, "three")], "record long, location string"))
+    pairs = addresses.same_location(located)
+    assert pairs.count() == pairs.distinct().count() == many * (many - 1) // 2 + 1
+
+
 def test_near():
     assert addresses.near("bever", "bvere", 1) is False and addresses.near("bever", "bveer", 1)
     assert addresses.near("abc", "abd", 1) and addresses.near("abc", "ab", 1) and not addresses.near("abc", "a", 1)
@@ -155,14 +181,14 @@ def test_bodies(spark):
 
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "tekst" + "</div>" * 5000
-    assert [x[0] for x in boilerplate.page_lines(deep, "tekst", None)] == [1]
+    assert boilerplate.read_page(deep, "tekst", None)["line_no"] == [1]
     many = "\n".join(f"linje {i}" for i in range(20_000))
-    assert len(boilerplate.page_lines("".join(f"<p>linje {i}</p>" for i in range(20_000)), many, None)) == 20_000
+    assert len(boilerplate.read_page("".join(f"<p>linje {i}</p>" for i in range(20_000)), many, None)["line_no"]) == 20_000
 
 
 @pytest.mark.parametrize("html", [None, "", "   ", "<![if>", "<a <b <c"])
 def test_odd_markup(html):
-    assert [x[2] is not None for x in boilerplate.page_lines(html, "a\n\nb", "http://h.example/x")] == [True, True]
+    assert boilerplate.read_page(html, "a\n\nb", "http://h.example/x")["line_no"] == [1, 3]
 
 
 def test_two_slips_at_different_places_are_one_street(spark):
@@ -174,5 +200,5 @@ def test_two_slips_at_different_places_are_one_street(spark):
 
 def test_lines_behind_a_long_hidden_run_are_placed():
     html = "<body><ul>" + "".join(f"<li>valg {i}</li>" for i in range(80)) + "</ul><div><h1>Om oss</h1><p>Vi bygger.</p></div></body>"
-    rows = boilerplate.page_lines(html, "Om oss\nVi bygger.", "https://a.example/om-oss")
-    assert [r[0] for r in rows] == [1, 2] and all(r[5] is not None for r in rows) and rows[0][5] == rows[1][5]
+    page = boilerplate.read_page(html, "Om oss\nVi bygger.", "https://a.example/om-oss")
+    assert page["line_no"] == [1, 2] and min(page["element"]) > 0
