@@ -2,14 +2,16 @@
 
 Successive passes join exactly on weaker and weaker combinations of noisy
 attributes (name, website, phone, location); what a pass resolves is
-anti-joined from the next. A rule's confidence is its labelled precision,
-smoothed.
+anti-joined from the next. Rules that compare names alike make one pass, in
+which the first rule holds, so that each pass is one table of keys and one
+join. A rule's confidence is its labelled precision, smoothed.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,9 @@ class Rule:
 
 
 RULES = (
+    Rule("website, phone and name", ("host", "phone"), "same"),
+    Rule("website, location and name", ("host", "location"), "same"),
+    Rule("phone, location and name", ("phone", "location"), "same"),
     Rule("website and name", ("host",), "same"),
     Rule("phone and name", ("phone",), "same"),
     Rule("location and name", ("location",), "same"),
@@ -50,6 +55,8 @@ RULES = (
     Rule("website", ("host",), "any"),
 )
 ATTRIBUTES = ("host", "phone", "location")
+#: Longer words are compared by halves.
+WHOLE = 40
 
 
 def host(url: Column) -> Column:
@@ -84,12 +91,20 @@ def name_forms(words: list[str]) -> list[str]:
 
 
 def word_forms(words: list[str]) -> list[str]:
-    """Each word, run-together name and what they become with one letter left out."""
+    """Each word, run-together name and what they share with all that are one letter away.
+
+    Words of up to ``WHOLE`` letters become what is left without any of them;
+    of longer ones a slip leaves the first half or the last half as it is.
+    Words of fewer than five letters are told apart by each letter.
+    """
     out = set()
     for word in {*words, "".join(words)}:
         out.add(word)
-        if 5 <= len(word) <= 40:
+        if 5 <= len(word) <= WHOLE + 1:
             out |= {word[:i] + word[i + 1 :] for i in range(len(word))}
+        if len(word) >= WHOLE:
+            halves = {(len(word) + d) // 2 for d in (-1, 0, 1)}
+            out |= {f"<{word[:k]}" for k in halves} | {f">{word[-k:]}" for k in halves}
     return sorted(out - {""})
 
 
@@ -169,52 +184,72 @@ def _described(places: DataFrame, companies: DataFrame) -> tuple[DataFrame, Data
     return full.where("side = 'p'").drop("side"), full.where("side = 'c'").drop("side")
 
 
-def _keyed(rows: DataFrame, rule: Rule) -> tuple[DataFrame, list[str]]:
-    """``rows`` with the columns that ``rule`` joins on, none of them null."""
-    keys = list(rule.on)
-    rows = rows.where(" and ".join(f"{k} is not null" for k in keys))
-    if rule.names == "same":
-        return rows.withColumn("_form", F.explode(_name_forms("words"))), [*keys, "_form"]
-    if rule.names == "related":
-        return rows.withColumn("_form", F.explode(_word_forms("words"))), [*keys, "_form"]
-    return rows, keys
+def _passes(rules: tuple[Rule, ...]) -> list[list[tuple[int, Rule]]]:
+    """The rules with their numbers, those side by side that compare names alike together."""
+    return [list(group) for _, group in groupby(enumerate(rules), key=lambda r: r[1].names)]
+
+
+def _keyed(rows: DataFrame, group: list[tuple[int, Rule]]) -> DataFrame:
+    """``key, words, host, rule, _a, _b``: two hashes of each combination that a rule of the pass joins on, none of it null."""
+    names = group[0][1].names
+    if names != "any":
+        rows = rows.withColumn("_form", F.explode((_name_forms if names == "same" else _word_forms)("words")))
+    made = []
+    for number, rule in group:
+        columns = [*rule.on, *(["_form"] if names != "any" else [])]
+        given = F.lit(True)
+        for c in rule.on:
+            given = given & F.col(c).isNotNull()
+        made.append(F.when(given, F.struct(F.lit(number).alias("rule"), F.xxhash64(F.lit(number), *columns).alias("_a"), F.hash(F.lit(number), *columns).alias("_b"))))
+    return rows.select("key", "words", "host", F.inline(F.array_compact(F.array(*made))))
 
 
-def _pass(places: DataFrame, companies: DataFrame, rule: Rule) -> DataFrame:
-    """``place_id, organisation_number`` that the rule joins.
+def _pass(places: DataFrame, companies: DataFrame, group: list[tuple[int, Rule]]) -> DataFrame:
+    """``place_id, organisation_number, rule, _support`` that the rules of a pass join.
 
     A combination that several companies share tells none of them, so each
     side of the join is one company a key, and a building, phone or name that
-    a third of all rows share joins no more rows than there are places.
+    a third of all rows share joins no more rows than there are places. What
+    a shared combination leaves open those of more attributes tell.
     """
-    ours, keys = _keyed(companies, rule)
-    one = ours.groupBy(*keys).agg(F.min("key").alias("organisation_number"), F.max("key").alias("_last"), F.max("words").alias("_words"), *(F.max(a).alias(f"_{a}") for a in ATTRIBUTES if a not in keys))
-    one = one.where("organisation_number = _last").drop("_last")
-    theirs, _ = _keyed(places, rule)
-    pairs = theirs.join(one, keys)
-    if rule.names == "related":
-        pairs = pairs.where(_related("words", "_words"))
-    if rule.names == "any" and "host" not in keys:
-        # Two shared attributes don't stand against a website of one's own.
-        pairs = pairs.where(F.col("host").isNull() | F.col("_host").isNull() | (F.col("host") == F.col("_host")))
-    return pairs.groupBy(F.col("key").alias("place_id"), "organisation_number").agg(F.count("*").alias("_support"))
+    one = _keyed(companies, group).groupBy("rule", "_a", "_b").agg(F.min("key").alias("organisation_number"), F.max("key").alias("_last")).where("organisation_number = _last").drop("_last")
+    same = ["place_id", "organisation_number", "rule", "words", "host"]
+    pairs = _keyed(places, group).join(one, ["rule", "_a", "_b"]).withColumnRenamed("key", "place_id").groupBy(*same).agg(F.count("*").alias("_n"))
+    names = group[0][1].names
+    vetoed = [number for number, rule in group if names == "any" and "host" not in rule.on]
+    if names == "related" or vetoed:
+        # A company may have several names and websites; one of them has to agree.
+        variants = companies.select(F.col("key").alias("organisation_number"), F.col("words").alias("_words"), F.col("host").alias("_host")).distinct()
+        met = pairs if names == "related" else pairs.where(F.col("rule").isin(vetoed))
+        met = met.join(variants, "organisation_number")
+        if names == "related":
+            met = met.where(_related("words", "_words"))
+        else:
+            # Two shared attributes don't stand against a website of one's own.
+            met = met.where(F.col("host").isNull() | F.col("_host").isNull() | (F.col("host") == F.col("_host")))
+        met = met.select(*same, "_n").dropDuplicates(same)
+        pairs = met if names == "related" else met.unionByName(pairs.where(~F.col("rule").isin(vetoed)))
+    return pairs.groupBy("place_id", "organisation_number", "rule").agg(F.sum("_n").alias("_support"))
+
+
+def _first(pairs: DataFrame) -> DataFrame:
+    """Of each place the company of the first rule; of several under one rule the one that more captures join, then the smaller number."""
+    rank = F.struct(-F.col("rule"), F.col("_support"), F.translate("organisation_number", "0123456789", "9876543210"))
+    return pairs.groupBy("place_id").agg(F.max_by(F.struct("organisation_number", "rule"), rank).alias("_best")).select("place_id", "_best.*")
 
 
 def resolve(left: DataFrame, right: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``place_id, organisation_number, rule`` of described places and companies: the cascade.
 
-    The first rule that resolves one capture of a place holds for the place.
-    Of several companies under one rule the one that more captures join
-    holds, then the smaller number.
+    The first rule that resolves one capture of a place holds for the place;
+    ``rule`` is its number. Each pass writes only what it resolves.
     """
-    resolved = None
-    for rule in rules:
-        open_places = left if resolved is None else left.join(resolved.select("place_id"), left["key"] == F.col("place_id"), "left_anti")
-        pairs = _pass(open_places, right, rule)
-        best = pairs.groupBy("place_id").agg(F.max_by("organisation_number", F.struct("_support", F.translate("organisation_number", "0123456789", "9876543210"))).alias("organisation_number"))
-        best = best.withColumn("rule", F.lit(rule.name))
-        resolved = cut(best if resolved is None else resolved.unionByName(best))
-    return resolved
+    done: DataFrame | None = None
+    for group in _passes(rules):
+        open_places = left if done is None else left.join(done.select("place_id"), left["key"] == F.col("place_id"), "left_anti")
+        best = cut(_first(_pass(open_places, right, group)))
+        done = best if done is None else done.unionByName(best)
+    return done
 
 
 def pairs(places: DataFrame, companies: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -235,8 +270,16 @@ def match(places: DataFrame, companies: DataFrame, labels: DataFrame | None = No
       without number are left out; repeated rows change nothing.
     """
     left, right = _described(places, companies)
-    resolved = resolve(left, right, rules)
-    return resolved.join(F.broadcast(_confidence(left, right, labels, rules, prior)), "rule").select("place_id", "organisation_number", "rule", "confidence")
+    joined: DataFrame | None = None
+    for group in _passes(rules):
+        part = _pass(left, right, group)
+        joined = part if joined is None else joined.unionByName(part)
+    joined = cut(joined)
+    # Companies are never taken out, so what the cascade resolves is of all that its rules join the first.
+    resolved = _first(joined)
+    names = F.element_at(F.array(*(F.lit(r.name) for r in rules)), F.col("rule") + 1)
+    told = resolved.join(F.broadcast(_confidence(joined, left, right, labels, rules, prior)), "rule")
+    return told.select("place_id", "organisation_number", names.alias("rule"), "confidence")
 
 
 def _attributes(rows: DataFrame, name: str, tag: str) -> DataFrame:
@@ -249,26 +292,18 @@ def _attributes(rows: DataFrame, name: str, tag: str) -> DataFrame:
     return long.unionByName(forms).where("value is not null").distinct().withColumnRenamed("value", f"{tag}value")
 
 
-def _confidence(left: DataFrame, right: DataFrame, labels: DataFrame | None, rules: tuple[Rule, ...], prior: tuple[float, float]) -> DataFrame:
-    """``rule, confidence``, one row for each of ``rules``."""
-    joined = None
-    for rule in rules:
-        part = _pass(left, right, rule).select("place_id", "organisation_number", F.lit(rule.name).alias("rule"))
-        joined = part if joined is None else joined.unionByName(part)
-    joined = cut(joined)
+def _confidence(joined: DataFrame, left: DataFrame, right: DataFrame, labels: DataFrame | None, rules: tuple[Rule, ...], prior: tuple[float, float]) -> DataFrame:
+    """``rule, confidence``, one row for each of ``rules``, of all pairs that they join."""
     if labels is not None:
         told = joined.join(labels, ["place_id", "organisation_number"]).select("rule", F.col("is_match").cast("int").alias("_right"))
     else:
         used = F.lit(False)
-        for rule in rules:
+        for number, rule in enumerate(rules):
             mine = [*rule.on] + ["name"] * (rule.names != "any")
-            used = used | ((F.col("rule") == rule.name) & F.col("attribute").isin(mine))
-        ours = _attributes(left, "place_id", "a_")
-        its = _attributes(right, "organisation_number", "b_")
-        given = joined.join(ours.select("place_id", "attribute").distinct(), "place_id").where(~used).join(its.select("organisation_number", "attribute").distinct(), ["organisation_number", "attribute"])
-        same = joined.join(ours, "place_id").join(its, ["organisation_number", "attribute"]).where(F.col("a_value") == F.col("b_value")).select("place_id", "organisation_number", "rule", "attribute").distinct()
-        told = given.join(same.withColumn("_same", F.lit(1)), ["place_id", "organisation_number", "rule", "attribute"], "left").groupBy("place_id", "organisation_number", "rule").agg(F.coalesce(F.max("_same"), F.lit(0)).alias("_right"))
+            used = used | ((F.col("rule") == number) & F.col("attribute").isin(mine))
+        both = joined.join(_attributes(left, "place_id", "a_"), "place_id").where(~used).join(_attributes(right, "organisation_number", "b_"), ["organisation_number", "attribute"])
+        told = both.groupBy("place_id", "organisation_number", "rule").agg(F.max((F.col("a_value") == F.col("b_value")).cast("int")).alias("_right"))
     counts = told.groupBy("rule").agg(F.sum("_right").alias("_right"), F.count("*").alias("_all"))
-    every = left.sparkSession.createDataFrame([(r.name,) for r in rules], "rule string")
+    every = left.sparkSession.createDataFrame([(n,) for n in range(len(rules))], "rule int")
     a, b = prior
     return every.join(counts, "rule", "left").select("rule", ((F.coalesce("_right", F.lit(0)) + a) / (F.coalesce("_all", F.lit(0)) + a + b)).alias("confidence"))
