@@ -267,6 +267,16 @@ def _one_street(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x, y, 1 if min(len(x), len(y)) < TWO_SLIPS else 2) for x, y in zip(a, b)], dtype=bool)
 
 
+def _may_be_one(a: Column, b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """What ``_one_street`` takes for one, and little else, by built-in functions.
+
+    A swap of neighbours counts as two changes here, but leaves the letters.
+    """
+    most = F.when(F.least(F.length(a), F.length(b)) < TWO_SLIPS, 1).otherwise(2)
+    changes = F.levenshtein(a, b, 4)
+    return changes.between(0, most) | (changes.between(most + 1, 2 * most) & F.levenshtein(letters_a, letters_b, 2).between(0, 2))
+
+
 def _settled(placed: DataFrame) -> DataFrame:
     """``placed`` with each ``EITHER`` read as the kind that other records of the town have, and the stem qualified by the words ahead.
 
@@ -316,15 +326,16 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
     spelled = placed.groupBy(*spot, "bare").agg(F.count("*").alias("n"))
     houses = spelled.groupBy("place", "form", "stem", "kind").agg(F.count_distinct("number", "letter").alias("_houses"))
     # Spellings are compared as streets of a town, whatever houses they were written for.
-    streets = houses.where("form = 'street'").select("place", "kind", "stem", "_houses")
+    letters = F.array_join(F.array_sort(F.split("stem", "")), "")
+    streets = houses.where("form = 'street'").select("place", "kind", "stem", "_houses", letters.alias("_letters"))
     once = streets.withColumn("_form", F.explode(_forms(F.col("stem"))))
     twice = once.where(F.length("stem") >= TWO_SLIPS).withColumn("_form", F.explode(_forms(F.col("_form"))))
-    hashed = once.unionByName(twice).select("place", "kind", "stem", "_houses", F.xxhash64("place", "kind", "_form").alias("_hash")).distinct()
+    hashed = once.unionByName(twice).select("place", "kind", "stem", "_houses", "_letters", F.xxhash64("place", "kind", "_form").alias("_hash")).distinct()
     a, b = hashed.alias("a"), hashed.alias("b")
     fewer, more = F.least("a._houses", "b._houses"), F.greatest("a._houses", "b._houses")
     two_streets = (fewer >= ESTABLISHED) & (fewer * OUTNUMBERED > more)
     alike = (F.col("a._hash") == F.col("b._hash")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.kind") == F.col("b.kind"))
-    pairs = a.join(b, alike & (F.col("a.stem") < F.col("b.stem")) & ~two_streets)
+    pairs = a.join(b, alike & (F.col("a.stem") < F.col("b.stem")) & ~two_streets & _may_be_one(F.col("a.stem"), F.col("b.stem"), F.col("a._letters"), F.col("b._letters")))
     pairs = pairs.select("a.place", "a.kind", F.col("a.stem").alias("stem"), F.col("b.stem").alias("_other")).distinct().where(_one_street("stem", "_other"))
     # A name without what qualifies it is the town's only street of that name.
     qualified = spelled.where("form = 'street' and stem <> bare").groupBy("place", "kind", "bare").agg(F.min("stem").alias("stem"), F.max("stem").alias("_last")).where("stem = _last")
