@@ -72,10 +72,9 @@ def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> list[
     total = sum(tokens.get(s, 0) for s in targets)
     most = {s: tokens.get(s, 0) * max(0, repeats or 0) for s, (_, repeats) in targets.items()}
     want = {s: (share or 0.0) * total for s, (share, _) in targets.items()}
-    reachable = {s: want[s] <= most[s] for s in targets}
     got = {s: float(min(want[s], most[s])) for s in targets}
     rest = total - sum(got.values())
-    room = {s: most[s] - got[s] for s in targets if reachable[s] and most[s] > got[s] and tokens.get(s, 0) > 0}
+    room = {s: most[s] - got[s] for s in targets if most[s] > got[s] and tokens.get(s, 0) > 0}
     while rest > 1e-9 * max(1, total) and room:
         shares = {s: tokens[s] / total for s in room}
         fits = lambda w: all(rest * w[s] <= room[s] * (1 + 1e-12) for s in room)  # noqa: B023, E731
@@ -90,7 +89,7 @@ def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> list[
         got[full] += min(room[full], rest)
         rest -= min(room[full], rest)
         del room[full]
-    return [Budget(s, float(share or 0.0), int(repeats or 0), int(tokens.get(s, 0)), got[s], reachable[s]) for s, (share, repeats) in sorted(targets.items())]
+    return [Budget(s, float(share or 0.0), int(repeats or 0), int(tokens.get(s, 0)), got[s], got[s] >= want[s]) for s, (share, repeats) in sorted(targets.items())]
 
 
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -105,12 +104,17 @@ def counted(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
     return documents.join(listed, "source", "left_semi").select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("_tokens"))
 
 
-def budgets(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> list[Budget]:
-    """The plan; what reaches the driver is one number for each source that ``targets`` lists."""
-    sums = counted(documents, targets, vocabulary).groupBy("source").agg(F.sum("_tokens").alias("tokens"))
+def _planned(known: DataFrame, targets: DataFrame) -> list[Budget]:
+    """The plan for counted documents; what reaches the driver is one number for each source that ``targets`` lists."""
+    sums = known.groupBy("source").agg(F.sum("_tokens").alias("tokens"))
     return plan({r.source: r.tokens for r in sums.collect()}, _targets(targets))
 
 
+def budgets(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> list[Budget]:
+    """The plan for a mixture of ``documents``."""
+    return _planned(counted(documents, targets, vocabulary), targets)
+
+
 SCHEMA = "source string, target_share double, max_repeats long, tokens long, budget double, reachable boolean"
 
 
@@ -119,7 +123,7 @@ def budget_table(spark: SparkSession, rows: list[Budget]) -> DataFrame:
 
 
 def unreachable(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The sources that can't reach their share even at ``max_repeats`` uses of every document."""
+    """The sources whose budget in the mixture falls short of their share, even at ``max_repeats`` uses of every document."""
     return budget_table(documents.sparkSession, budgets(documents, targets, vocabulary)).where("not reachable").select("source")
 
 
@@ -136,12 +140,15 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     Sources not listed, and documents without source or tokens, aren't used. Repeated
     rows count as further documents. Documents never used are left out.
     """
-    spark = documents.sparkSession
-    known = cut(counted(documents, targets, vocabulary).where("_tokens > 0"))
+    return _mixed(cut(counted(documents, targets, vocabulary).where("_tokens > 0")), targets, seed, blocks)
+
+
+def _mixed(known: DataFrame, targets: DataFrame, seed: int = 17, blocks: int = 4096) -> DataFrame:
+    """``mix`` of counted documents."""
+    spark = known.sparkSession
     order = F.xxhash64(F.lit(seed), "doc_id")
     known = known.withColumn("_order", order).withColumn("_block", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(blocks)))
-    sums = {r.source: r.tokens for r in known.groupBy("source").agg(F.sum("_tokens").alias("tokens")).collect()}
-    wanted = budget_table(spark, plan(sums, _targets(targets))).where("tokens > 0").select(
+    wanted = budget_table(spark, _planned(known, targets)).where("tokens > 0").select(
         "source", F.floor(F.col("budget") / F.col("tokens")).alias("_passes"), (F.col("budget") - F.floor(F.col("budget") / F.col("tokens")) * F.col("tokens")).alias("_left"), F.col("max_repeats").alias("_most")
     )
     ahead = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,9 +167,11 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
 
 def report(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, **options) -> DataFrame:
     """``source, target_share, actual_share, mixture_tokens, documents_used, most_uses, reachable`` of the mixture, one row a listed source."""
-    mixture = cut(mix(documents, targets, vocabulary, **options))
+    known = cut(counted(documents, targets, vocabulary).where("_tokens > 0"))
+    planned = budget_table(documents.sparkSession, _planned(known, targets)).select("source", "reachable")
+    mixture = cut(_mixed(known, targets, **options))
     got = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("mixture_tokens"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))
-    listed = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"))
+    listed = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share")).join(F.broadcast(planned), "source")
     total = got.agg(F.sum("mixture_tokens").alias("_total"))
     rows = listed.join(got, "source", "left").join(F.broadcast(total), how="left").na.fill(0, ["mixture_tokens", "documents_used", "most_uses"])
-    return rows.select("source", "target_share", F.coalesce(F.col("mixture_tokens") / F.col("_total"), F.lit(0.0)).alias("actual_share"), "mixture_tokens", "documents_used", "most_uses")
+    return rows.select("source", "target_share", F.coalesce(F.col("mixture_tokens") / F.col("_total"), F.lit(0.0)).alias("actual_share"), "mixture_tokens", "documents_used", "most_uses", "reachable")

@@ -96,6 +96,7 @@ def test_mixture(spark):
     assert all(r.doc_id not in (900, 901) for r in used)
     report = {r.source: r for r in mixing.report(docs, targets, blocks=16).collect()}
     assert set(report) == {"a", "b", "c", "d"} and report["d"].actual_share == 0
+    assert [s for s, r in sorted(report.items()) if not r.reachable] == [r.source for r in mixing.unreachable(docs, targets).orderBy("source").collect()]
     assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
     assert mixing.mix(docs.limit(0), targets).collect() == []
     assert [r.source for r in mixing.unreachable(docs.limit(0), targets).collect()] == []
