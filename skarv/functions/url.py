@@ -11,10 +11,12 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.nz", "co.jp", "c
 PLATFORMS = {"facebook.com": "facebook", "fb.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin", "x.com": "x", "twitter.com": "x", "youtube.com": "youtube", "tiktok.com": "tiktok"}
 #: First parts of a path that are no profile.
 NO_PROFILE = {
-    "facebook": ("sharer", "sharer.php", "share.php", "dialog", "policy.php", "privacy", "events", "groups", "plugins"),
+    "facebook": ("sharer", "sharer.php", "share.php", "dialog", "policy.php", "privacy", "events", "groups", "plugins", "profile.php"),
     "instagram": ("p", "reel", "reels", "stories", "explore"),
     "x": ("intent", "share", "home", "search", "i"),
 }
+#: First parts of a path before the name of a channel.
+CHANNELS = ("channel", "user", "c")
 
 
 def absolute(url: Column) -> Column:
@@ -56,17 +58,29 @@ def host_suffixes(name: Column) -> Column:
 
 
 def profile(url: Column) -> Column:
-    """``struct(platform, url)`` of a profile on a platform; null for other pages."""
+    """``struct(platform, url)`` of a company's profile on a platform; null for other pages of it.
+
+    A profile is a company page with its name, a channel by its name or a
+    handle, an account alone; a platform's other hosts give its own.
+    """
     domain = registered_domain(host(url))
     platform = F.try_element_at(F.create_map(*(F.lit(x) for pair in PLATFORMS.items() for x in pair)), domain)
-    parts = F.filter(F.split(path(url), "/"), lambda p: p != "")
-    first = F.get(parts, F.lit(0))
-    bad = F.lit(False)
-    for name, names in NO_PROFILE.items():
-        bad = bad | ((platform == name) & F.lower(first).isin(*names))
-    kept = F.when(platform == "linkedin", F.array_join(F.slice(parts, 1, 2), "/")).otherwise(first)
-    fits = F.when(platform == "linkedin", F.lower(first).isin("company", "school", "showcase") & (F.size(parts) >= 2)).otherwise(first.isNotNull())
-    return F.when(platform.isNotNull() & fits & ~bad, F.struct(platform.alias("platform"), F.concat(F.lit("https://"), domain, F.lit("/"), kept).alias("url")))
+    parts = F.filter(F.transform(F.split(path(url), "/"), F.trim), lambda p: p != "")
+    first, many = F.lower(F.get(parts, F.lit(0))), F.size(parts)
+    handle = F.startswith(first, F.lit("@"))
+    fits = {
+        "facebook": ~first.isin(*NO_PROFILE["facebook"]),
+        "instagram": ~first.isin(*NO_PROFILE["instagram"]),
+        "linkedin": (first == "company") & (many >= 2),
+        "x": ~first.isin(*NO_PROFILE["x"]) & (many == 1),
+        "youtube": handle | first.isin(*CHANNELS),
+        "tiktok": handle,
+    }
+    kept = F.when(platform == "linkedin", F.slice(parts, 1, 2)).when(platform == "youtube", F.when(handle, F.slice(parts, 1, 1)).otherwise(F.slice(parts, 1, 2))).otherwise(parts)
+    good = F.lit(False)
+    for name, condition in fits.items():
+        good = good | ((platform == name) & condition)
+    return F.when(good & (many > 0), F.struct(platform.alias("platform"), F.concat(F.lit("https://"), platform, F.lit(".com/"), F.array_join(kept, "/")).alias("url")))
 
 
 def web_address(url: Column) -> Column:

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from skarv.functions.text import fold, name_tokens, organisation_numbers, overlap, tokens
 
 #: Phrases of pages that stand for no site yet.
-PARKED = ("domain is for sale", "domenet er til salgs", "domain parked", "parked domain", "under construction", "coming soon", "buy this domain", "kjøp dette domenet")
+PARKED = (
+    "domain is for sale", "domain for sale", "hugedomains", "parked at", "miss hosting",
+    "her flytter snart en ny gjest", "has been informing visitors",
+    "find the best information and most relevant links on all topics related to",
+)
 #: Words that may stand before a company's name in a headline about it.
-BEFORE_A_NAME = ("hos", "i", "for", "fra", "til", "med", "av", "at", "from", "by", "with", "in")
+BEFORE_A_NAME = ("av", "for", "fra", "hos", "i", "med", "om", "på", "til", "og", "kjøper", "velger")
 
 
 def names_number(text: Column, number: Column) -> Column:
@@ -58,8 +62,12 @@ def profile_confidence(name: Column, handle: Column) -> Column:
 
 
 def in_title(name: Column, title: Column) -> Column:
-    """Whether the name's words stand together in the title, at its start or after one of ``BEFORE_A_NAME``."""
-    words, heads = tokens(name), tokens(title)
+    """Whether the name's words stand together in the title, at its start or after one of ``BEFORE_A_NAME``.
+
+    What follows the last `` - `` of a title names its publisher.
+    """
+    split = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9æøå]+"), 0)
+    words, heads = split(name), split(F.regexp_replace(title, r" - (?:(?! - ).)*$", ""))
     n = F.size(words)
     places = F.sequence(F.lit(1), F.greatest(F.size(heads) - n + 1, F.lit(1)))
     stands = F.exists(places, lambda i: (F.slice(heads, i, F.greatest(n, F.lit(1))) == words) & ((i == 1) | F.coalesce(F.try_element_at(heads, i - 1).isin(*BEFORE_A_NAME), F.lit(False))))

@@ -36,31 +36,51 @@ def delimiter_of(header: str) -> str:
     return max((";", ",", "\t"), key=header.count)
 
 
+def _header(spark: SparkSession, path: str) -> str:
+    """The first line, of compressed files too, without byte order mark."""
+    if not is_gzip(spark, path):
+        return spark.read.text(path).limit(1).collect()[0][0].lstrip("\ufeff")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark._jvm.java.util.zip.GZIPInputStream(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hadoop))
+    try:
+        return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine().lstrip("\ufeff")
+    finally:
+        stream.close()
+
+
 def read_delivery(spark: SparkSession, path: str) -> DataFrame:
     """A registry delivery in csv, all columns as text: plain or gzip, with or without byte order mark.
 
-    A file that is compressed but not named so is read through its lines by
-    the decompressing stream; all others go through the vectorised csv source.
+    What a row is doesn't hang on how the file is packed or named: a quoted
+    field may hold line breaks in all of them. A file that is compressed but
+    not named so is unpacked as a stream, row by row; all others go through
+    the csv source. A compressed file is the work of one task, as its format
+    can't be read from the middle.
     """
-    text = spark.read.text(path)
-    if is_gzip(spark, path) and not path.endswith(".gz"):
+    header = _header(spark, path)
+    delimiter = delimiter_of(header)
+    names = [n.strip().strip('"') for n in header.split(delimiter)]
+    schema = ", ".join(f"`{n}` string" for n in names)
+    if not is_gzip(spark, path) or path.endswith(".gz"):
+        return spark.read.schema(schema).csv(path, header=True, sep=delimiter, escape='"', multiLine=True, enforceSchema=True)
+
+    def unpack(batches):
+        import csv
         import gzip
+        import io
+        from itertools import islice
 
-        def unpack(batches):
-            import pandas as pd
+        import pandas as pd
 
-            for frame in batches:
-                for content in frame["content"]:
-                    yield pd.DataFrame({"value": gzip.decompress(content).decode("utf-8-sig").splitlines()})
+        for frame in batches:
+            for content in frame["content"]:
+                rows = csv.reader(io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(content)), "utf-8-sig", newline=""), delimiter=delimiter)
+                next(rows, None)
+                while part := list(islice(rows, 10_000)):
+                    cut = [[c if c != "" else None for c in (row + [None] * len(names))[: len(names)]] for row in part if row]
+                    yield pd.DataFrame(cut, columns=names, dtype=object)
 
-        text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
-    header = text.limit(1).collect()[0][0].lstrip("﻿")
-    names = [n.strip().strip('"') for n in header.split(delimiter_of(header))]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    if text.inputFiles() and not (is_gzip(spark, path) and not path.endswith(".gz")):
-        return spark.read.schema(schema).csv(path, header=True, sep=delimiter_of(header), escape='"', multiLine=not path.endswith(".gz"), enforceSchema=True)
-    rows = text.where(F.regexp_replace("value", "^﻿", "") != header)
-    return rows.select(F.from_csv("value", schema, {"sep": delimiter_of(header), "escape": '"'}).alias("_row")).select("_row.*")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
 
 
 def given(*columns: Column) -> Column:

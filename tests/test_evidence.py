@@ -92,6 +92,22 @@ def test_chain_store_replaces_touched_chains(spark, tmp_path):
     assert store.apply(log, log.limit(0)) == 2
 
 
+def test_chain_store_after_lost_and_second_writers(spark, tmp_path):
+    log = spark.createDataFrame([(1, "a", "f", "available", at(1), "1", None, "2024-01-01")], EVIDENCE)
+    store = history.ChainStore(spark, str(tmp_path / "store"), buckets=2)
+    assert store.apply(log, log) == 1
+    want = versions(store.read())
+    # A writer lost between its data and its manifest leaves both of these.
+    (tmp_path / "store" / "data-000000002").mkdir()
+    (tmp_path / "store" / "draft-lost").write_text('{"0": "')
+    assert store.version() == 1 and versions(store.read()) == want
+    assert store.apply(log, log) == 2 and versions(store.read()) == want
+    with pytest.raises(Exception):
+        store._commit(2, "{}")
+    assert store.version() == 2 and versions(store.read()) == want
+    assert [p.name for p in (tmp_path / "store").glob("draft-*")] == ["draft-lost"]
+
+
 def test_snapshot_changes(spark):
     schema = "row_id long, source_row_key string, field string, status string, retrieved_at timestamp_ntz, value string, as_of string, _key string"
     days = ["2025-01-31", "2025-02-28T00:00:00Z", "31.03.2025", "2025-04-30"]

@@ -49,7 +49,7 @@ def test_urls(spark):
     assert values(spark, url.registered_domain(a), "x.y.no", "x.y.co.uk", "no", None) == ["y.no", "y.co.uk", "no", None]
     assert values(spark, url.host_suffixes(a), "a.b.c") == [["a.b.c", "b.c", "c"]]
     got = values(spark, url.profile(a), "https://www.facebook.com/firma/posts", "facebook.com/sharer.php", "linkedin.com/company/x/about", "linkedin.com/in/x", "https://twitter.com/home", "https://firma.no/x", None)
-    assert [g and (g.platform, g.url) for g in got] == [("facebook", "https://facebook.com/firma"), None, ("linkedin", "https://linkedin.com/company/x"), None, None, None, None]
+    assert [g and (g.platform, g.url) for g in got] == [("facebook", "https://facebook.com/firma/posts"), None, ("linkedin", "https://linkedin.com/company/x"), None, None, None, None]
     assert values(spark, url.web_address(a), "https://a.no/x", "https://u:p@a.no", "a.no", None) == [True, False, False, False]
 
 
@@ -189,17 +189,24 @@ def test_rates_over_nothing(spark):
 @pytest.mark.parametrize(
     "question,filters,order,runs",
     [
-        ("AS companies in Oslo top 10 by revenue", [("municipality", "eq", "Oslo"), ("legal_form", "eq", "AS")], ("revenue", True), True),
-        ("revenue over 1,000,000 and profitable with a website", [("revenue", ">", 1e6), ("result", ">", 0.0), ("website", "present", None)], None, True),
-        ("at most 20 employees in Bergen", [("municipality", "eq", "Bergen"), ("employees", "<=", 20.0)], None, True),
+        ("AS companies in Oslo top 10 by revenue", [("municipality", "eq", "OSLO"), ("legal_form", "eq", "AS")], ("revenue", True), True),
+        ("revenue over 1,5 million and profitable with a website", [("revenue", ">", 1.5e6), ("annual_result", ">", 0.0), ("website", "present", None)], None, True),
+        ("companies in oslo with legal form asa", [("municipality", "eq", "OSLO"), ("legal_form", "eq", "ASA")], None, True),
+        ("at most 20 employees in Bergen", [("municipality", "eq", "BERGEN"), ("employees", "<=", 20.0)], None, True),
+        ("employees = 7", [("employees", "=", 7.0)], None, True),
+        ("more than 5 registered employees having annual accounts", [("employees", ">", 5.0)], None, True),
+        ('loss-making, industry contains "bygg"', [("annual_result", "<", 0.0), ("industry", "contains", "bygg")], None, True),
         ("top 500 by employees", [], ("employees", True), True),
-        ("credit rating of companies in Oslo", [("municipality", "eq", "Oslo")], None, False),
+        ("companies in Oslo with positive sentiment", [("municipality", "eq", "OSLO")], None, False),
+        ("companies in Oslo without a website", [("municipality", "eq", "OSLO")], None, False),
+        ("good glassdoor reviews", [], None, False),
         ("hello", [], None, False),
     ],
 )
 def test_screening_plans(question, filters, order, runs):
     plan = screening.parse(question)
     assert [(f.field, f.operator, f.value) for f in plan.filters] == filters and plan.order == order and plan.executable is runs
+    assert (plan.reason is None) is runs
     assert plan.limit is None or plan.limit <= 100
 
 
@@ -207,7 +214,49 @@ def test_screening_unknown_values_do_not_fit(spark):
     rows = spark.createDataFrame([("1", None, "Oslo"), ("2", 5, "oslo"), ("3", 1, "Oslo")], "organisation_number string, employees int, municipality string")
     assert [r[0] for r in screening.screen(rows, "in Oslo with more than 2 employees").collect()] == ["2"]
     assert [r[0] for r in screening.screen(rows, "in Oslo top 3 by employees").collect()] == ["2", "3", "1"]
-    assert screening.screen(rows, "owner in Oslo").collect() == []
+    assert screening.screen(rows, "profitable companies in Oslo").collect() == []  # no such field
+    assert screening.screen(rows, "companies in Oslo with good reviews").collect() == []
+    told = screening.outcome(rows, "companies in Oslo with good reviews").collect()[0]
+    assert told.abstained and told.result_count == 0 and "review data" in told.reason
+    assert screening.outcome(rows, "hello").collect()[0].reason == screening.NOTHING_KNOWN
+
+
+def test_screening_gives_all_that_fit(spark):
+    rows = spark.range(250).selectExpr("cast(id as string) as organisation_number", "'Oslo' as municipality", "cast(id as int) as employees")
+    assert screening.screen(rows, "companies in Oslo").count() == 250
+    assert screening.outcome(rows, "companies in Oslo").collect()[0].result_count == 250
+    assert screening.screen(rows, "in Oslo top 200 by employees").count() == 100
+
+
+def test_screening_cites_its_evidence(spark):
+    rows = spark.createDataFrame([("1", "Oslo", 5.0)], "organisation_number string, municipality string, revenue double")
+    seen = [("1", "registry", 1, "https://a", "t1", "h1"), ("1", "registry", 2, "https://b", "t2", "h2"), ("2", "registry", 3, "https://c", "t3", "h3")]
+    evidence = spark.createDataFrame(seen, "organisation_number string, module string, row_id long, source_url string, retrieved_at string, content_sha256 string")
+    plan = screening.parse("companies in Oslo with revenue over 2 top 5 by revenue")
+    got = screening.cited(screening.run(rows, plan), evidence, plan).collect()
+    assert [(r.module, r.source_url) for r in sorted(got, key=lambda r: r.module)] == [("financials", None), ("registry", "https://b")]
+
+
+def test_profiles_on_platforms(spark):
+    urls = ["https://facebook.com/profile.php?id=1", "https://www.youtube.com/watch?v=x", "https://tiktok.com/foo", "https://x.com/a/status/1", "https://linkedin.com/showcase/x/y", "https://youtube.com/channel/UC1/videos", "https://youtube.com/@firma/about", "https://m.facebook.com/firma", "https://twitter.com/firma", "https://tiktok.com/@firma", "https://youtu.be/abc", "https://linkedin.com/company/firma/about/", "https://fb.com/a/b"]
+    got = values(spark, url.profile(F.col("a")), *urls)
+    want = [None, None, None, None, None, "https://youtube.com/channel/UC1", "https://youtube.com/@firma", "https://facebook.com/firma", "https://x.com/firma", "https://tiktok.com/@firma", None, "https://linkedin.com/company/firma", "https://facebook.com/a/b"]
+    assert [g and g.url for g in got] == want
+
+
+def test_names_in_titles(spark):
+    df = spark.createDataFrame([("Aneo AS", t) for t in ("Endring på Aneo AS", "Equinor kjøper Aneo AS", "Deal with Aneo AS", "Aneo AS vokser - Avisen", "Nytt - Aneo AS", "Aneo AS - vekst - Avisen")], "n string, t string")
+    assert [r[0] for r in df.select(identity.in_title(F.col("n"), F.col("t"))).collect()] == [True, True, False, True, False, True]
+
+
+def test_deliveries_with_line_breaks_in_quotes(spark, tmp_path):
+    import gzip
+
+    content = '"organisasjonsnummer";"navn"\r\n"1";"to\nlinjer"\r\n"2";"med ""sitat"" og \u2028"\r\n"3";\r\n'.encode()
+    for name, data in (("a.csv", content), ("b.csv.gz", gzip.compress(content)), ("c.csv", gzip.compress(content)), ("d.bin", gzip.compress(b"\xef\xbb\xbf" + content))):
+        (tmp_path / name).write_bytes(data)
+        got = [tuple(r) for r in readers.read_delivery(spark, str(tmp_path / name)).orderBy("organisasjonsnummer").collect()]
+        assert got == [("1", "to\nlinjer"), ("2", 'med "sitat" og \u2028'), ("3", None)], name
 
 
 def test_late_rows_and_windows_on_a_stream(spark, tmp_path):
