@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Small Latin letters with an accent or stroke and what they fold to, in the same order.
 _FOLDED = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, range(0xE0, 0x180)) if c.islower() and unicodedata.normalize("NFKD", c)[0] in "abcdefghijklmnopqrstuvwxyz"}
@@ -122,3 +124,35 @@ def explicit_dates(text: Column, first_year: int = 1995, last: Column | None = N
     days = F.transform(F.concat(iso, F.transform(dotted, from_dotted), F.transform(written, from_written)), lambda x: x.try_cast("date"))
     kept = F.filter(days, lambda d: d.isNotNull() & (F.year(d) >= first_year) & ((d <= last) if last is not None else F.lit(True)))
     return F.array_sort(F.array_distinct(kept))
+
+
+#: Titles and the office they name.
+OFFICES = {
+    "ceo": "ceo", "chief executive officer": "ceo", "daglig leder": "ceo", "administrerende direktør": "ceo", "adm dir": "ceo", "adm direktør": "ceo", "managing director": "ceo", "konsernsjef": "ceo",
+    "styreleder": "chair", "styrets leder": "chair", "chairman": "chair", "chair": "chair", "chairman of the board": "chair", "styremedlem": "board_member", "board member": "board_member",
+    "cfo": "cfo", "chief financial officer": "cfo", "økonomisjef": "cfo", "finansdirektør": "cfo", "cto": "cto", "chief technology officer": "cto", "teknisk direktør": "cto",
+    "coo": "coo", "chief operating officer": "coo", "driftsdirektør": "coo", "gründer": "founder", "grunnlegger": "founder", "founder": "founder", "co founder": "founder", "medgründer": "founder",
+    "eier": "owner", "owner": "owner", "innehaver": "owner",
+}
+
+
+def office(title: Column, proposed: Column) -> Column:
+    """``struct(office, method)``: by the table, else as proposed where that is an office."""
+    key = F.array_join(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), 0), " ")
+    told = F.try_element_at(F.create_map(*(F.lit(x) for pair in OFFICES.items() for x in pair)), key)
+    given = F.lower(F.trim(proposed))
+    return F.when(told.isNotNull(), F.struct(told.alias("office"), F.lit("table").alias("method"))).when(given.isin(*sorted(set(OFFICES.values()))), F.struct(given.alias("office"), F.lit("proposed").alias("method"))).otherwise(F.struct(F.lit(None).cast("string").alias("office"), F.lit("invalid").alias("method")))
+
+
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Texts in compatible form (NFKC), for ``plain``."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def plain(text: Column) -> Column:
+    """Compatible form, lower case, one kind of dash and quotation mark, one space between words."""
+    folded = F.lower(compatible(text))
+    for marks, one in (("[\u2010-\u2015\u2212]", "-"), ("[\u2018\u2019\u201a\u201b\u2032]", "'"), ('[\u201c\u201d\u201e\u201f\u2033]', '"')):
+        folded = F.regexp_replace(folded, marks, one)
+    return F.trim(F.regexp_replace(folded, r"\s+", " "))

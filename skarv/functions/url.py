@@ -93,3 +93,32 @@ def domain_guesses(words: Column, ending: str = "no", least: int = 5) -> Column:
     joined, hyphened = F.array_join(words, ""), F.array_join(words, "-")
     both = F.array(F.when(F.length(joined) >= least, joined), F.when((F.size(words) > 1) & (F.length(joined) >= least), hyphened))
     return F.transform(F.array_compact(both), lambda g: F.concat(g, F.lit(f".{ending}")))
+
+
+def company_page(url: Column) -> Column:
+    """The one address of a company's page on the network of professions; null for other pages."""
+    parts = F.filter(F.transform(F.split(path(url), "/"), lambda p: F.trim(F.try_url_decode(p))), lambda p: p != "")
+    fits = registered_domain(host(url)).eqNullSafe(F.lit("linkedin.com")) & (F.lower(F.get(parts, F.lit(0))) == "company") & (F.size(parts) >= 2)
+    slug = F.replace(F.url_encode(F.lower(F.get(parts, F.lit(1)))), F.lit("+"), F.lit("%20"))
+    return F.when(fits, F.concat(F.lit("https://linkedin.com/company/"), F.replace(slug, F.lit("%7E"), F.lit("~"))))
+
+
+def page_of_name(name: Column) -> Column:
+    """Where a company's page would be by its legal name; null without a word."""
+    words = F.regexp_extract_all(F.replace(F.replace(F.replace(F.lower(name), F.lit("æ"), F.lit("ae")), F.lit("ø"), F.lit("o")), F.lit("å"), F.lit("a")), F.lit("[a-z0-9]+"), 0)
+    return F.when(F.size(words) > 0, F.concat(F.lit("https://www.linkedin.com/company/"), F.array_join(words, "-")))
+
+
+def updates_query(base: str, kind: str, numbers: Column, since: str, page: int = 0, size: int = 100) -> Column:
+    """The address that asks for the updates of several entities."""
+    return F.concat(F.lit(f"{base}/{kind}?organisasjonsnummer="), F.array_join(numbers, "%2C"), F.lit(f"&dato={since}&size={size}&page={page}&includeChanges=true"))
+
+
+def public_address(name: Column) -> Column:
+    """Whether a host is no address of a private, local or reserved network, as far as its writing tells."""
+    octets = F.transform(F.split(name, r"\."), lambda o: o.try_cast("int"))
+    four = name.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
+    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
+    private = (a.isin(0, 10, 127)) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19))
+    named = ~F.lower(name).rlike(r"^(?:localhost|.*\.(?:local|localhost|internal))$") & F.contains(name, F.lit("."))
+    return F.coalesce(F.when(name.contains(":"), F.lit(False)).when(four, ~private & ~F.exists(octets, lambda o: o > 255)).otherwise(named & ~name.rlike(r"^[0-9.]+$")), F.lit(False))

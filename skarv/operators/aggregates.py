@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,27 @@ def upper_confidence(rows: DataFrame, strategy: str, gain: str, weight: float =
     total = runs.agg(F.sum("runs").alias("_total"))
     bonus = F.sqrt(F.log(F.col("_total") + 1.0) / (F.col("runs") + 1))
     return runs.join(F.broadcast(total)).select(strategy, "runs", "mean_gain", (F.col("mean_gain") + weight * bonus).alias("priority"))
+
+
+def value_at_rank(rows: DataFrame, keys: list[str], value: str, index) -> DataFrame:
+    """``keys, value``: each group's value at the place that ``index`` makes of the group's size, from 0, in ascending order.
+
+    Counted by distinct values first, so what a task sorts is a group's values
+    and not its rows. Nulls count as none.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    ahead = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_to", F.sum("_n").over(ahead)).join(sizes, keys).withColumn("_at", index(F.col("_size")))
+    return placed.where((F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_n"))).select(*keys, value)
+
+
+def quality_summary(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """One row: gold items, those predicted, accuracy over all, coverage, and the mean F1 of the labels that gold has."""
+    known = rows.where(F.col(gold).isNotNull())
+    totals = known.agg(F.count("*").alias("items"), F.count(predicted).alias("predicted"), F.count_if(F.col(gold) == F.col(predicted)).alias("_right"))
+    labels = known.select(F.col(gold).alias("label"), F.col(predicted).alias("_p")).groupBy("label").agg(F.count("*").alias("_support"), F.count_if(F.col("label") == F.col("_p")).alias("_hit"))
+    said = known.groupBy(F.col(predicted).alias("label")).agg(F.count("*").alias("_said"))
+    f1 = labels.join(said, "label", "left").select((2 * F.col("_hit") / (F.col("_support") + F.coalesce("_said", F.lit(0)))).alias("_f1")).agg(F.avg("_f1").alias("macro_f1"))
+    both = totals.join(F.broadcast(f1))
+    return both.select("items", "predicted", F.round(F.col("_right") / F.col("items"), 6).alias("accuracy"), F.round(F.col("predicted") / F.col("items"), 6).alias("coverage"), F.round("macro_f1", 6).alias("macro_f1"))

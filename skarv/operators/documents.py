@@ -68,3 +68,23 @@ def locations(rows: DataFrame, key: str, body: str) -> DataFrame:
 def with_reasons(rows: DataFrame, rules: dict[str, Column], name: str = "reasons") -> DataFrame:
     """``rows`` with the names of the rules they break, in order; a rule that can't be told is broken."""
     return rows.withColumn(name, F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(reason)) for reason, rule in rules.items()))))
+
+
+def updates(rows: DataFrame, document: str, kind: str = "enheter") -> DataFrame:
+    """``update_id, date, organisation_number, change_type, changed_fields`` of a feed's documents; the changed fields sorted, each once.
+
+    Changes are a list of members that name a ``path``, ``felt`` or ``field``,
+    or one object whose keys they are.
+    """
+    listed = {"enheter": "oppdaterteEnheter"}.get(kind, "oppdaterteUnderenheter")
+    entry = "struct<oppdateringsid:string,dato:string,organisasjonsnummer:string,endringstype:string,endringer:string>"
+    read = rows.select(F.inline(F.from_json(document, f"struct<_embedded:struct<{listed}:array<{entry}>>>")["_embedded"][listed]))
+    members = F.from_json("endringer", "array<struct<path:string,felt:string,field:string>>")
+    paths = F.when(F.startswith("endringer", F.lit("[")), F.transform(members, lambda m: F.coalesce(F.nullif(m["path"], F.lit("")), F.nullif(m["felt"], F.lit("")), m["field"]))).otherwise(F.json_object_keys("endringer"))
+    return read.select(F.col("oppdateringsid").alias("update_id"), F.col("dato").alias("date"), F.coalesce("organisasjonsnummer", F.lit("")).alias("organisation_number"), F.col("endringstype").alias("change_type"), F.array_sort(F.array_distinct(F.array_compact(F.coalesce(paths, F.array().cast("array<string>"))))).alias("changed_fields"))
+
+
+def contact_fields(columns: dict[str, str]):
+    """A map of the contact fields that are given."""
+    made = F.create_map(*(x for name, column in columns.items() for x in (F.lit(name), F.col(column).cast("string"))))
+    return F.map_filter(made, lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")

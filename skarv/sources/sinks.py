@@ -20,9 +20,11 @@ def content_path(sha256: Column) -> Column:
 
 
 def store_contents(contents: DataFrame, path: str, content: str = "content") -> None:
-    """Add contents to a store partitioned by the first two letters of their hash, each once.
+    """Add contents to a store partitioned by the first two letters of their hash.
 
     What the store has already isn't written again; only hashes are compared.
+    Two writers at once may both write a new content: ``stored_contents``
+    gives each once whoever wrote it, and equal hashes are equal contents.
     """
     spark: SparkSession = contents.sparkSession
     new = contents.select(F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.col(content).cast("binary").alias("content")).where("sha256 is not null").dropDuplicates(["sha256"])
@@ -32,6 +34,11 @@ def store_contents(contents: DataFrame, path: str, content: str = "content") ->
     new.withColumn("prefix", F.substring("sha256", 1, 2)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
+def stored_contents(spark: SparkSession, path: str) -> DataFrame:
+    """``sha256, content`` of a store, each content once."""
+    return spark.read.schema("sha256 string, content binary, prefix string").parquet(path).select("sha256", "content").dropDuplicates(["sha256"])
+
+
 def report(rows: DataFrame) -> DataFrame:
     """Rows as one JSON text a row, without null fields."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("report"))
