@@ -68,18 +68,21 @@ def stratum_counts(spark: SparkSession, sf: str) -> DataFrame:
 _DIGITS = "regexp_replace(coalesce(raw, ''), '[^0-9]', '', 'g')"
 
 
-@query(f"""WITH d AS (SELECT row_id, {_DIGITS} AS n FROM input_rows WHERE fmt = 'txt'), s AS (SELECT *, CASE WHEN length(n) = 9 THEN ({" + ".join(f"{w} * TRY_CAST(n[{i + 1}] AS INT)" for i, w in enumerate((3, 2, 7, 6, 5, 4, 3, 2)))}) % 11 END AS r FROM d)
+@query(f"""WITH d AS (SELECT row_id, {_DIGITS} AS n FROM input_rows), s AS (SELECT *, CASE WHEN length(n) = 9 THEN ({" + ".join(f"{w} * TRY_CAST(n[{i + 1}] AS INT)" for i, w in enumerate((3, 2, 7, 6, 5, 4, 3, 2)))}) % 11 END AS r FROM d)
 SELECT row_id, n AS digits, coalesce(length(n) = 9 AND (CASE WHEN r = 0 THEN 0 ELSE 11 - r END) = TRY_CAST(n[9] AS INT), false) AS valid FROM s""")
 def mod11_check(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "input_rows").where("fmt = 'txt'").select("row_id", only_digits(F.coalesce("raw", F.lit(""))).alias("digits"))
+    rows = table(spark, sf, "input_rows").select("row_id", only_digits(F.coalesce("raw", F.lit(""))).alias("digits"))
     return rows.withColumn("valid", mod11_valid(F.col("digits")))
 
 
-@query()
+@query(f"""WITH j AS (SELECT row_id, raw, CASE WHEN json_valid(raw) AND NOT regexp_matches(raw, ',\\s*[}}\\]]\\s*$') THEN CAST(raw AS JSON) END AS j FROM input_rows),
+d AS (SELECT row_id, regexp_replace(coalesce(json_extract_string(j, '$.organisation_number'), json_extract_string(j, '$.organisasjonsnummer'), raw, ''), '[^0-9]', '', 'g') AS n FROM j), g AS (SELECT row_id, CASE WHEN length(n) = 9 THEN n END AS n FROM d),
+f AS (SELECT *, min(row_id) OVER (PARTITION BY n) AS first, CASE WHEN n IS NOT NULL THEN ({" + ".join(f"{w} * CAST(n[{i + 1}] AS INT)" for i, w in enumerate((3, 2, 7, 6, 5, 4, 3, 2)))}) % 11 END AS r FROM g)
+SELECT row_id AS position, n AS organisation_number, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'invalid_organisation_number' END, CASE WHEN (CASE WHEN r = 0 THEN 0 ELSE 11 - r END) <> CAST(n[9] AS INT) THEN 'checksum_mismatch' END, CASE WHEN n IS NOT NULL AND first < row_id THEN 'duplicate_input ' || first END], lambda x: x IS NOT NULL), '; ') AS errors FROM f""")
 def tolerant_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every raw line of the text batches as an input, with its errors."""
-    lines = table(spark, sf, "input_rows").where("fmt <> 'csv'").select(F.col("row_id").alias("position"), "raw")
-    return readers.tolerant_inputs(lines)
+    """Every raw record as an input line, with its errors."""
+    lines = table(spark, sf, "input_rows").select(F.col("row_id").alias("position"), "raw")
+    return readers.tolerant_inputs(lines).select("position", "organisation_number", F.array_join(F.transform("errors", lambda e: F.concat_ws(" ", e["code"], e["detail"])), "; ").alias("errors"))
 
 
 _HOST = r"nullif(regexp_extract(lower(CASE WHEN regexp_matches(trim({0}), '^[a-zA-Z]+://') THEN trim({0}) ELSE 'https://' || trim({0}) END), '^https?://(?:[^/?#@\s]*@)?(?:www\.)?([^/?#:\s]+)', 1), '')"
@@ -101,10 +104,10 @@ def hosts_not_listed(spark: SparkSession, sf: str) -> DataFrame:
 _PAGE_HOST = r"regexp_replace(regexp_extract(lower(source_url), '^https?://([^/?#:\s]+)', 1), '^www\.', '')"
 
 
-@query(f"""WITH p AS (SELECT page_id, {_PAGE_HOST} AS host, sha256('20260823:' || page_id) AS r FROM page_contents WHERE source_url LIKE 'http%')
+@query(f"""WITH p AS (SELECT * FROM (SELECT page_id, {_HOST.format('source_url')} AS host, sha256('20260823:' || page_id) AS r FROM page_contents) WHERE host IS NOT NULL)
 SELECT page_id, host FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY host ORDER BY r, page_id) = 1) ORDER BY r, page_id LIMIT 50""")
 def first_page_per_host(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "page_contents").where("source_url like 'http%'").select("page_id", url.host(F.col("source_url")).alias("host"))
+    pages = table(spark, sf, "page_contents").select("page_id", url.host(F.col("source_url")).alias("host")).where("host is not null")
     return relational.first_per_host(pages, "host", "page_id", 50, "20260823").select("page_id", "host")
 
 
@@ -130,7 +133,9 @@ def email_domains(spark: SparkSession, sf: str) -> DataFrame:
     return pages.groupBy("domain").agg(F.count_distinct("page_id").alias("pages"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT page_id, organisation_number, unnest(list_distinct(list_transform(regexp_extract_all(' ' || replace(coalesce(text, ''), chr(160), ' ') || ' ', '[^0-9][0-9]{{3}}[ .]?[0-9]{{3}}[ .]?[0-9]{{3}}[^0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')))) AS number FROM page_contents),
+s AS (SELECT *, ({" + ".join(f"{w} * CAST(number[{i + 1}] AS INT)" for i, w in enumerate((3, 2, 7, 6, 5, 4, 3, 2)))}) % 11 AS r FROM n WHERE length(number) = 9)
+SELECT page_id, organisation_number, number, coalesce(number = organisation_number, false) AS own, (CASE WHEN r = 0 THEN 0 ELSE 11 - r END) = CAST(number[9] AS INT) AS valid FROM s""")
 def numbers_on_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Organisation numbers that pages show, and whether they are the site's own."""
     pages = table(spark, sf, "page_contents").select("page_id", "organisation_number", F.explode(text.organisation_numbers(F.col("text"))).alias("number"))
@@ -146,7 +151,7 @@ def dates_in_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def page_signals(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "page_contents").where("html <> ''").select("page_id", html.page_signals("html").alias("_s"))
+    pages = table(spark, sf, "page_contents").select("page_id", html.page_signals("html").alias("_s"))
     return pages.select("page_id", "_s.title", "_s.heading", "_s.footer", F.size("_s.emails").alias("emails"), F.length("_s.text").alias("characters"))
 
 
@@ -157,7 +162,7 @@ PRIORITY_TERMS = ("om-oss", "om_oss", "about", "kontakt", "contact", "ledelse",
 @query()
 def priority_links(spark: SparkSession, sf: str) -> DataFrame:
     """At most four links of a page to its own host, those whose address or label names the best term first."""
-    links = table(spark, sf, "page_contents").where("html <> ''").select("page_id", "source_url", F.explode(html.page_links("html", "source_url")).alias("_l")).select("page_id", "source_url", "_l.url", "_l.label")
+    links = table(spark, sf, "page_contents").select("page_id", "source_url", F.explode(html.page_links("html", "source_url")).alias("_l")).select("page_id", "source_url", "_l.url", "_l.label")
     rank = F.array_min(F.array_compact(F.array(*(F.when(F.contains(F.lower(F.concat_ws(" ", "url", "label")), F.lit(t)), F.lit(i)) for i, t in enumerate(PRIORITY_TERMS)))))
     own = links.where(url.host(F.col("url")) == url.host(F.col("source_url"))).withColumn("rank", rank).where("rank is not null")
     best = own.groupBy("page_id", "url").agg(F.min("rank").alias("rank"))
@@ -253,15 +258,15 @@ def qa_facts(spark: SparkSession, sf: str) -> DataFrame:
 def site_identity(spark: SparkSession, sf: str) -> DataFrame:
     """How surely each page is its company's own."""
     names = profiles(spark, sf).select("organisation_number", "name")
-    pages = table(spark, sf, "page_contents").where("organisation_number is not null").select("page_id", "organisation_number", "text").join(names, "organisation_number")
+    pages = table(spark, sf, "page_contents").select("page_id", "organisation_number", "text").join(names, "organisation_number", "left")
     return pages.select("page_id", identity.site_confidence(F.col("name"), F.col("organisation_number"), F.col("text")).alias("_s")).select("page_id", "_s.confidence", "_s.reason")
 
 
-@query("""SELECT regexp_replace(fullkey, '^\\$\\.?', '') AS path, count(*) AS leaves FROM (SELECT CAST(value AS JSON) AS v FROM bulk_evidence WHERE field = 'registry' AND value IS NOT NULL), json_tree(v) AS t WHERE t.atom IS NOT NULL GROUP BY 1""")
+@query("""SELECT regexp_replace(regexp_replace(fullkey, '\\[(\\d+)\\]', '.\\1', 'g'), '^\\$\\.?', '') AS path, count(*) AS leaves FROM (SELECT TRY_CAST(value AS JSON) AS v FROM bulk_evidence WHERE value IS NOT NULL), json_tree(v) AS t WHERE t.atom IS NOT NULL GROUP BY 1""")
 def document_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each field of the registry documents is given."""
-    rows = table(spark, sf, "bulk_evidence").where("field = 'registry' and value is not null").select(F.explode(extract.json_leaves("value")).alias("_l")).where("_l.kind <> 'null'")
-    return rows.groupBy(F.regexp_replace(F.substring("_l.path", 2, 1_000_000), "/", ".").alias("path")).agg(F.count("*").alias("leaves"))
+    """How often each field of the delivered documents is given."""
+    rows = table(spark, sf, "bulk_evidence").where("value is not null").select(F.explode(extract.json_leaves("value")).alias("_l")).where("_l.kind <> 'null'")
+    return rows.groupBy(F.regexp_replace(F.substr("_l.path", F.lit(2)), "/", ".").alias("path")).agg(F.count("*").alias("leaves"))
 
 
 @query("""SELECT row_id, unnest(list_filter([CASE WHEN NOT coalesce(place_id <> '', false) THEN 'no_id' END, CASE WHEN NOT coalesce(title <> '', false) THEN 'no_title' END, CASE WHEN NOT coalesce(web_site LIKE 'http%', false) THEN 'no_url' END, CASE WHEN NOT coalesce(review_rating BETWEEN 1 AND 5 OR review_count = 0, false) THEN 'bad_rating' END], lambda x: x IS NOT NULL)) AS reason FROM map_places""")
@@ -271,7 +276,12 @@ def place_rejections(spark: SparkSession, sf: str) -> DataFrame:
     return documents.with_reasons(table(spark, sf, "map_places"), rules).select("row_id", F.explode("reasons").alias("reason"))
 
 
-@query()
+_GUESSED = f"list_filter(regexp_extract_all({{0}}, '[a-z0-9]+'), lambda t: t NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)}))"
+
+
+@query(f"""WITH {_PROFILES}, w AS (SELECT organisation_number, {_HOST.format("website")} AS given, {_GUESSED.format(_fold_sql("name"))} AS w FROM profiles),
+g AS (SELECT organisation_number, given, unnest(list_filter([CASE WHEN length(array_to_string(w, '')) >= 5 THEN array_to_string(w, '') || '.example' END, CASE WHEN len(w) > 1 AND length(array_to_string(w, '')) >= 5 THEN array_to_string(w, '-') || '.example' END], lambda x: x IS NOT NULL)) AS guess FROM w)
+SELECT organisation_number, guess, coalesce(guess = given, false) AS "right" FROM g""")
 def domain_guesses(spark: SparkSession, sf: str) -> DataFrame:
     """Hosts each company may have by its name, and whether one is the website it gives."""
     rows = profiles(spark, sf).select("organisation_number", url.host(F.col("website")).alias("given"), F.explode(url.domain_guesses(text.name_tokens(F.col("name")), "example")).alias("guess"))
