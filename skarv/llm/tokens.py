@@ -3,23 +3,38 @@
 from __future__ import annotations
 
 import base64
-import re
+import os
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A byte-level vocabulary in rank order: one base64 token and its rank a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs without a break that are longer than this are tokenized in sections,
-#: so that neither the pattern nor the merges take more than linear time.
-LONGEST_RUN = 4096
-
 _LOADED: dict[str, tuple] = {}
-_RUN = re.compile(rf"\S{{{LONGEST_RUN},}}|\s{{{LONGEST_RUN},}}")
+
+
+def distribute(spark: SparkSession, vocabulary: str = VOCABULARY) -> None:
+    """Sends the vocabulary to all executors, where they don't have it at its path."""
+    spark.sparkContext.addFile(vocabulary)
+
+
+def _found(vocabulary: str) -> str:
+    """The vocabulary at its path, or as ``distribute`` sent it."""
+    if os.path.exists(vocabulary):
+        return vocabulary
+    from pyspark import SparkFiles
+
+    try:
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+    except Exception:
+        sent = ""
+    if not os.path.exists(sent):
+        raise FileNotFoundError(f"no vocabulary at {vocabulary} on this worker; put it there or send it by skarv.llm.tokens.distribute")
+    return sent
 
 
 def encoding(vocabulary: str):
@@ -27,7 +42,7 @@ def encoding(vocabulary: str):
     if vocabulary not in _LOADED:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(_found(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int32)
         for token, rank in ranks.items():
@@ -36,25 +51,9 @@ def encoding(vocabulary: str):
     return _LOADED[vocabulary]
 
 
-def _sections(text: str) -> list[str]:
-    if len(text) <= LONGEST_RUN or not _RUN.search(text):
-        return [text]
-    out, at = [], 0
-    for run in _RUN.finditer(text):
-        for end in range(run.start() + LONGEST_RUN, run.end() + 1, LONGEST_RUN):
-            out.append(text[at:end])
-            at = end
-    out.append(text[at:])
-    return [s for s in out if s]
-
-
 def tokenize(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Token ids of the whole text; special tokens' strings are ordinary text."""
-    encode = encoding(vocabulary)[0].encode_ordinary
-    parts = _sections(text)
-    if len(parts) == 1:
-        return np.asarray(encode(parts[0]), dtype=np.int32)
-    return np.concatenate([np.asarray(encode(p), dtype=np.int32) for p in parts])
+    """Token ids of the whole text, as the tokenizer gives them; special tokens' strings are ordinary text."""
+    return np.asarray(encoding(vocabulary)[0].encode_ordinary(text), dtype=np.int32)
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
