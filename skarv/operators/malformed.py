@@ -48,7 +48,7 @@ def _by_delimiter(delimiter: Column, make) -> Column:
     return out
 
 
-def _one_json_value(raw: Column) -> Column:
+def one_json_value(raw: Column) -> Column:
     """``raw`` as an array of the one JSON value it is, as text; null if it isn't one.
 
     Spark's parser ignores what follows a value. Nothing can follow it both in
@@ -98,7 +98,7 @@ def read_permissively(rows: DataFrame) -> DataFrame:
     raw = F.when(F.col("input_position") == 0, F.regexp_replace(raw, "^﻿", "")).otherwise(raw)
     delimiter = F.coalesce(F.col("_delimiter"), F.lit(DELIMITERS[0]))
     joined = _once(joined, _raw=raw)
-    joined = _once(joined, _bad_quoting=is_csv & ~_by_delimiter(delimiter, lambda d: _quoted_well(F.col("_raw"), d)), _json=F.when(F.col("fmt") == "jsonl", _one_json_value(F.col("_raw"))))
+    joined = _once(joined, _bad_quoting=is_csv & ~_by_delimiter(delimiter, lambda d: _quoted_well(F.col("_raw"), d)), _json=F.when(F.col("fmt") == "jsonl", one_json_value(F.col("_raw"))))
     csv = F.when(is_csv & ~F.col("_bad_quoting"), _by_delimiter(delimiter, lambda d: _fields(F.col("_raw"), d)))
     shape = F.substring(F.ltrim("_raw"), 1, 1)
     parsed = _once(joined, _fields=csv, _object=F.when(shape == "{", F.from_json(F.get("_json", F.lit(0)), JSON_SCHEMA, STRICT)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skarv.operators.malformed import one_json_value
 from skarv.functions.ids import mod11_valid, only_digits
 
 #: The names a registry field has in the two headers it comes with.
@@ -118,7 +119,8 @@ def tolerant_inputs(lines: DataFrame) -> DataFrame:
     and ``duplicate_input`` with the position of the first line for the
     number. No line is dropped and none raises.
     """
-    read = F.coalesce(F.get_json_object("raw", "$.organisation_number"), F.get_json_object("raw", "$.organisasjonsnummer"), F.col("raw"))
+    named = F.coalesce(F.get_json_object("raw", "$.organisation_number"), F.get_json_object("raw", "$.organisasjonsnummer"))
+    read = F.coalesce(F.when(one_json_value(F.col("raw")).isNotNull(), named), F.col("raw"))
     rows = lines.select("position", "raw", only_digits(read).alias("_digits"))
     number = F.when(F.length("_digits") == 9, F.col("_digits"))
     rows = rows.select("position", "raw", number.alias("organisation_number"))
