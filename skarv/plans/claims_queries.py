@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarv.functions import url
@@ -90,14 +90,17 @@ def website_claims(spark: SparkSession, sf: str) -> DataFrame:
     return cc.website_claims(records, assessments=graded).drop("span")
 
 
-@query("""SELECT CAST(o_custkey AS VARCHAR) AS organisation_number, 'revenue' AS field, count(*) AS claims, max(CAST(o_totalprice AS DOUBLE)) AS largest FROM orders GROUP BY 1
-UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'total_debt', count(*), max(CAST(o_orderkey AS DOUBLE)) FROM orders GROUP BY 1
+@query("""WITH o AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 3)
+SELECT CAST(o_custkey AS VARCHAR) AS organisation_number, 'revenue' AS field, count(*) AS claims, max(CAST(o_totalprice AS DOUBLE)) AS largest FROM o GROUP BY 1
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'total_debt', count(*), max(CAST(o_orderkey AS DOUBLE)) FROM o GROUP BY 1
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'annual_accounts', 1, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def financial_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Each customer's orders read as periods of accounts, their figures unpivoted."""
+    """Each customer's last three orders read as periods of accounts, their figures unpivoted."""
     period = F.struct(F.col("o_orderdate").cast("string").alias("fraDato"), F.col("o_orderdate").cast("string").alias("tilDato"))
     record = F.struct(F.col("o_orderkey").cast("string").alias("record_id"), F.lit("NOK").alias("currency"), period.alias("period"), F.col("o_totalprice").alias("revenue"), F.lit(True).alias("assets"), F.col("o_orderstatus").alias("equity"), F.col("o_orderkey").alias("debt"))
-    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(record).alias("records"))
+    last = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
+    three = table(spark, sf, "orders").withColumn("_n", F.row_number().over(last)).where("_n <= 3")
+    orders = three.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(record).alias("records"))
     rows = table(spark, sf, "customer").select("c_custkey").join(orders, "c_custkey", "left")
     made = cc.financial_claims(_documents(rows, "c_custkey", "financials", F.lit("available"), F.struct("records")))
     return made.groupBy("organisation_number", "field").agg(F.count("*").alias("claims"), F.max(F.col("value").cast("double")).alias("largest"))

@@ -142,7 +142,9 @@ def numbers_on_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.withColumn("own", F.col("number").eqNullSafe(F.col("organisation_number"))).withColumn("valid", mod11_valid(F.col("number")))
 
 
-@query()
+@query("""WITH t AS (SELECT row_id, ' ' || lower(concat_ws(' | ', as_of, effective_at, note)) || ' ' AS t FROM evidence), f AS (SELECT row_id, unnest(list_transform(regexp_extract_all(t, '[^0-9][0-9]{4}-[0-9]{2}-[0-9]{2}[^0-9]'), lambda x: TRY_CAST(substr(x, 2, 10) AS DATE))) AS day FROM t
+UNION ALL SELECT row_id, unnest(list_transform(regexp_extract_all(t, '[^0-9.]([0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4})[^0-9]', 1), lambda x: TRY_CAST(concat_ws('-', string_split(x, '.')[3], lpad(string_split(x, '.')[2], 2, '0'), lpad(string_split(x, '.')[1], 2, '0')) AS DATE))) FROM t)
+SELECT day, count(DISTINCT row_id) AS evidence FROM f WHERE year(day) >= 1995 GROUP BY 1""")
 def dates_in_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """How many pieces of evidence name each day, in whatever notation."""
     days = table(spark, sf, "evidence").select("row_id", F.explode(text.explicit_dates(F.concat_ws(" | ", "as_of", "effective_at", "note"))).alias("day"))
