@@ -121,7 +121,7 @@ def values_at_ranks(spark: SparkSession, sf: str) -> DataFrame:
 _SAID = "CASE WHEN contains(text, ' ikkje ') THEN 'nn' WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' og ') THEN 'nb' END"
 
 
-@query(f"""WITH r AS (SELECT lang AS g, {_SAID} AS p FROM documents WHERE lang IS NOT NULL), f AS (SELECT g, 2 * count_if(g = p) / (count(*) + (SELECT count(*) FROM r s WHERE s.p = r.g)) AS f1 FROM r GROUP BY g)
+@query(f"""WITH r AS (SELECT lang AS g, {_SAID} AS p FROM documents WHERE lang IS NOT NULL), f AS (SELECT g, 2 * count_if(g = p) / (count(*) + coalesce((SELECT count(*) FROM r s WHERE s.p = r.g), 0)) AS f1 FROM r GROUP BY g)
 SELECT count(*) AS items, count(p) AS predicted, round(count_if(g = p) / count(*), 6) AS accuracy, round(count(p) / count(*), 6) AS coverage, round((SELECT avg(f1) FROM f), 6) AS macro_f1 FROM r""")
 def prediction_quality(spark: SparkSession, sf: str) -> DataFrame:
     """How well three words tell the language: accuracy, coverage, mean F1."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarv.operators.malformed import one_json_value
 from skarv.functions.ids import mod11_valid, only_digits
+from skarv.operators.malformed import one_json_value
 
 #: The names a registry field has in the two headers it comes with.
 REGISTRY_NAMES = {
@@ -110,6 +110,13 @@ def input_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.trim("raw") != "")
 
 
+def json_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """``position, raw`` of a JSON file that is a list, or an object with a list of ``organisation_numbers``; numbers, texts and objects are members alike."""
+    whole = spark.read.text(path, wholetext=True)
+    named = F.coalesce(F.get_json_object("value", "$.organisation_numbers"), F.get_json_object("value", "$"))
+    return whole.select(F.posexplode(F.from_json(named, "array<string>")).alias("position", "raw"))
+
+
 def tolerant_inputs(lines: DataFrame) -> DataFrame:
     """``position, raw, organisation_number, errors`` of a list of organisation numbers, one row an input line.
 

@@ -326,3 +326,11 @@ def test_positions_and_draws(spark):
     got = {r.draw: r.n for r in relational.drawn_sample(rows, ["n"], 10, 5).collect()}
     assert [got[i] for i in range(10)] == random.Random(5).sample(range(1000), 10)
     assert relational.numbered(rows.limit(0), ["n"]).collect() == []
+
+
+def test_lists_of_inputs_in_json(spark, tmp_path):
+    for name, content in {"a.json": '["974760673", 1, {"organisation_number": "x"}, null]', "b.json": '{"organisation_numbers": ["974760673",\n 1, {"organisation_number": "x"}, null]}'}.items():
+        (tmp_path / name).write_text(content)
+        got = readers.json_inputs(spark, str(tmp_path / name)).orderBy("position").collect()
+        assert [(r.position, r.raw) for r in got] == [(0, "974760673"), (1, "1"), (2, '{"organisation_number":"x"}'), (3, None)]
+        assert [r.organisation_number for r in readers.tolerant_inputs(readers.json_inputs(spark, str(tmp_path / name))).orderBy("position").collect()] == ["974760673", None, None, None]
