@@ -57,7 +57,7 @@ def rejections_by_platform(spark: SparkSession, sf: str) -> DataFrame:
     return observations.reasons_counted(_observed(spark, sf))
 
 
-@query(f"""WITH {_OBSERVED}, j AS (SELECT *, len(reasons) = 0 AS ok FROM reasons), g AS (SELECT o AS organisation_number, count_if(ok) AS accepted, count_if(NOT ok) AS rejected, count_if(ok AND epoch(TIMESTAMP '2025-07-01') - epoch(retrieved_at) BETWEEN 0 AND 45 * 86400) AS fresh, count_if(ok AND source = 'reviews') AS reviews,
+@query(f"""WITH {_OBSERVED}, j AS (SELECT *, len(reasons) = 0 AS ok FROM reasons), g AS (SELECT o AS organisation_number, count_if(ok) AS accepted, count_if(NOT ok) AS rejected, (count(*) FILTER (WHERE ok AND epoch(TIMESTAMP '2025-07-01') - epoch(retrieved_at) BETWEEN 0 AND 45 * 86400)) AS fresh, count_if(ok AND source = 'reviews') AS reviews,
  count(DISTINCT CASE WHEN ok AND source = 'job_ads' THEN source_url END) AS jobs, count(DISTINCT CASE WHEN ok AND source = 'news' THEN source_url END) AS public_items, count_if(ok AND label IS NOT NULL) AS opinions,
  count(DISTINCT CASE WHEN ok AND label IS NOT NULL THEN host END) AS hosts, count(DISTINCT CASE WHEN ok AND label IS NOT NULL THEN source_url END) AS people, avg(CASE WHEN ok THEN CASE label WHEN 'positive' THEN 1 WHEN 'neutral' THEN 0 END END) AS m FROM j GROUP BY 1)
 SELECT organisation_number, accepted, rejected, fresh, reviews, jobs, public_items, opinions, CASE WHEN opinions >= 10 AND (hosts >= 2 OR people >= 10) THEN round(50 + 50 * m, 1) END AS opinion FROM g""")
@@ -121,8 +121,8 @@ def values_at_ranks(spark: SparkSession, sf: str) -> DataFrame:
 _SAID = "CASE WHEN contains(text, ' ikkje ') THEN 'nn' WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' og ') THEN 'nb' END"
 
 
-@query(f"""WITH r AS (SELECT lang AS g, {_SAID} AS p FROM documents WHERE lang IS NOT NULL), f AS (SELECT g, 2 * count_if(g = p) / (count(*) + coalesce((SELECT count(*) FROM r s WHERE s.p = r.g), 0)) AS f1 FROM r GROUP BY g)
-SELECT count(*) AS items, count(p) AS predicted, round(count_if(g = p) / count(*), 6) AS accuracy, round(count(p) / count(*), 6) AS coverage, round((SELECT avg(f1) FROM f), 6) AS macro_f1 FROM r""")
+@query(f"""WITH r AS (SELECT lang AS g, {_SAID} AS p FROM documents WHERE lang IS NOT NULL), f AS (SELECT g, 2 * (count(*) FILTER (WHERE g = p)) / (count(*) + coalesce((SELECT count(*) FROM r s WHERE s.p = r.g), 0)) AS f1 FROM r GROUP BY g)
+SELECT count(*) AS items, count(p) AS predicted, round((count(*) FILTER (WHERE g = p)) / count(*), 6) AS accuracy, round(count(p) / count(*), 6) AS coverage, round((SELECT avg(f1) FROM f), 6) AS macro_f1 FROM r""")
 def prediction_quality(spark: SparkSession, sf: str) -> DataFrame:
     """How well three words tell the language: accuracy, coverage, mean F1."""
     said = F.when(F.contains("text", F.lit(" ikkje ")), "nn").when(F.contains("text", F.lit(" the ")), "en").when(F.contains("text", F.lit(" og ")), "nb")
