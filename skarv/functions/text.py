@@ -43,6 +43,11 @@ def name_key(name: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(name_tokens(name))), " ")
 
 
+def place_tokens(text: Column) -> Column:
+    """The telling words of a place's title: of at least three letters, or with a digit."""
+    return F.filter(tokens(text), lambda t: (F.length(t) >= 3) | t.rlike("[0-9]"))
+
+
 def slug(text: Column) -> Column:
     return F.array_join(tokens(text), "-")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Endings under which names are registered that have two labels.
@@ -51,6 +51,22 @@ def registered_domain(name: Column) -> Column:
     return F.when(name.isNotNull(), F.when(last(2).isin(*TWO_LABEL_SUFFIXES), last(3)).otherwise(last(2)))
 
 
+def registered_domains(rows: DataFrame, name: str, suffixes: DataFrame) -> DataFrame:
+    """``rows`` with ``domain``: one label more than the longest of ``suffixes`` (``suffix``) that the host ends in; null for a suffix itself.
+
+    An equality join on the host's endings. Hosts under no listed suffix have
+    their last two labels, as under any single one.
+    """
+    hosts = rows.select(F.col(name).alias("_host")).where("_host is not null").distinct()
+    ends = hosts.select("_host", F.posexplode(host_suffixes(F.col("_host"))).alias("_at", "suffix"))
+    listed = suffixes.select("suffix").distinct()
+    longest = ends.join(listed, "suffix").groupBy("_host").agg(F.min("_at").alias("_at"))
+    labels = F.split("_host", r"\.")
+    begin = F.coalesce(F.col("_at"), F.greatest(F.size(labels) - 1, F.lit(1)))
+    told = hosts.join(longest, "_host", "left").select("_host", F.when(begin > 0, F.array_join(F.slice(labels, begin, F.size(labels)), ".")).alias("domain"))
+    return rows.join(told, F.col(name) == F.col("_host"), "left").drop("_host")
+
+
 def host_suffixes(name: Column) -> Column:
     """A host and all it ends in: ``a.b.c``, ``b.c``, ``c``; a join on these is a join on endings."""
     labels = F.split(name, r"\.")

@@ -104,6 +104,31 @@ def overlaid(base: DataFrame, live: DataFrame, fields: list[str], entity: str =
     return rows.select(entity, *(F.coalesce(F.when(use, F.col(f"_{f}")), F.col(f)).alias(f) for f in fields), F.coalesce((F.col("status") == "available") & F.col("_other"), F.lit(False)).alias("identity_mismatch"))
 
 
+def anchored(records: DataFrame, entity: str = "organisation_number") -> DataFrame:
+    """``entity, anchored``: whether a registry, live or delivered, has answered for it."""
+    registry = F.col("module").isin("registry", "registry_live") & (F.col("status") == "available")
+    return records.groupBy(entity).agg(F.coalesce(F.bool_or(registry), F.lit(False)).alias("anchored"))
+
+
+def filer(profiles: DataFrame, year: str) -> DataFrame:
+    """The profiles that have filed accounts for the year and are neither bankrupt nor in liquidation."""
+    closing = F.coalesce(F.col("bankrupt"), F.lit(False))
+    if "liquidating" in profiles.columns:
+        closing = closing | F.coalesce(F.col("liquidating"), F.lit(False))
+    return profiles.where((F.col("latest_accounts") == year) & ~closing)
+
+
+def verified_by_name(rows: DataFrame, owners: DataFrame, key: str = "name_key") -> DataFrame:
+    """Rows joined to their owners by name: ``owner_number`` where one of the owner's numbers is the row's own, and ``mismatched`` where the name alone agrees.
+
+    ``rows`` have ``key`` and ``number``, ``owners`` ``key``, ``owner_number``
+    and ``allowed``, the numbers of the company and its subunits.
+    """
+    met = rows.join(owners, key)
+    fits = F.array_contains("allowed", F.col("number"))
+    return met.select(*rows.columns, F.when(fits, F.col("owner_number")).alias("owner_number"), (~F.coalesce(fits, F.lit(False))).alias("mismatched"))
+
+
 def terminal_state(status: Column, note: Column) -> Column:
     """How a module ended: ``blocked`` splits by whether its note speaks of robots; no status is a submission error."""
     blocked = F.when(F.contains(F.lower(F.coalesce(note, F.lit(""))), F.lit("robot")), "blocked_robots").otherwise("blocked_policy")

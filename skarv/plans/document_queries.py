@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarv.functions import extract, text, url
-from skarv.operators import claims, documents, identity, refresh
+from skarv.operators import claims, company_claims, documents, identity, refresh
 from skarv.plans.company_queries import _HOST, _PROFILES, _fold_sql, profiles
 from skarv.session import shared_dir, table
 from skarv.sources import readers, sinks
@@ -190,3 +190,43 @@ def fenced_answers(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "eval_items")
     said = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.length("text").alias("n"))), F.lit("\n```\n"))
     return rows.select("item_id", F.get_json_object(extract.fenced_json(said), "$.n").cast("long").alias("n"))
+
+
+@query("SELECT organisation_number, coalesce(bool_or(field = 'registry' AND status = 'available'), false) AS anchored FROM bulk_evidence WHERE organisation_number IS NOT NULL GROUP BY 1")
+def anchored_companies(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "bulk_evidence").where("organisation_number is not null").withColumnRenamed("field", "module")
+    return company_claims.anchored(rows)
+
+
+@query(f"WITH {_PROFILES} SELECT organisation_number, name FROM profiles WHERE latest_accounts = '2024' AND NOT bankrupt")
+def filers(spark: SparkSession, sf: str) -> DataFrame:
+    return company_claims.filer(profiles(spark, sf), "2024").select("organisation_number", "name")
+
+
+@query(f"SELECT row_id, array_to_string(list_filter(regexp_extract_all({_fold_sql('title')}, '[a-z0-9]+'), lambda t: length(t) >= 3 OR regexp_matches(t, '[0-9]')), ' ') AS words FROM map_places")
+def place_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "map_places").select("row_id", F.array_join(text.place_tokens(F.col("title")), " ").alias("words"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {_HOST.format("source_url")} AS host FROM claims WHERE contains(source_url, '.')), l AS (SELECT host, string_split(host, '.') AS p FROM h WHERE host IS NOT NULL),
+s AS (SELECT *, CASE WHEN regexp_matches(host, '^(.*[.])?example$') THEN len(p) - 1 ELSE greatest(len(p) - 1, 1) END AS b FROM l) SELECT host, CASE WHEN b > 0 THEN array_to_string(list_slice(p, b, len(p)), '.') END AS domain FROM s""")
+def domains_under_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered domains of the hosts that claims cite, under a given list of suffixes."""
+    hosts = table(spark, sf, "claims").select(url.host(F.col("source_url")).alias("host")).where("host is not null").distinct()
+    return url.registered_domains(hosts, "host", spark.createDataFrame([("example",), ("co.uk",)], "suffix string"))
+
+
+@query(f"""WITH {_PROFILES} SELECT count(*) AS rows, count_if(c.organisation_number = p.organisation_number) AS verified, count(*) - count_if(c.organisation_number = p.organisation_number) AS mismatched FROM claims c JOIN profiles p ON lower(c.name) = lower(p.name) WHERE c.name IS NOT NULL""")
+def owners_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims joined to companies by name alone, verified by number; what isn't is counted, not told."""
+    rows = table(spark, sf, "claims").where("name is not null").select(F.lower("name").alias("name_key"), F.col("organisation_number").alias("number"))
+    owners = profiles(spark, sf).select(F.lower("name").alias("name_key"), F.col("organisation_number").alias("owner_number"), F.array("organisation_number").alias("allowed"))
+    return company_claims.verified_by_name(rows, owners).agg(F.count("*").alias("rows"), F.count("owner_number").alias("verified"), F.count_if("mismatched").alias("mismatched"))
+
+
+@query(f"WITH {_PROFILES} SELECT p.organisation_number AS o, p.name AS n, p.legal_form AS f, coalesce(p.employees, -1) AS e, coalesce(c.k, 0) AS c FROM profiles p LEFT JOIN (SELECT organisation_number, count(*) AS k FROM claims GROUP BY 1) c ON c.organisation_number = p.organisation_number")
+def compact_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The few fields of each profile that a page shows, under short names."""
+    counted = table(spark, sf, "claims").groupBy("organisation_number").agg(F.count("*").alias("k"))
+    rows = profiles(spark, sf).join(counted, "organisation_number", "left")
+    return rows.select(F.col("organisation_number").alias("o"), F.col("name").alias("n"), F.col("legal_form").alias("f"), F.coalesce("employees", F.lit(-1)).alias("e"), F.coalesce("k", F.lit(0)).alias("c"))
