@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 #: The share of an item's wording that a document has to carry.
 CARRIED = 0.5
-#: Items compared at once; more are compared block by block.
-BLOCK = 4096
+#: Items in one index; of more items several indexes are made, and so many of them
+#: are held against the documents in one scan.
+BLOCK, AT_ONCE = 4096, 16
 #: A new passage costs as many matched words; a passage has at least one more.
 JUMP = 4
 #: Words a walk may read, and steps of which it is sampled; the first one always is.
@@ -412,8 +413,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK, recal
       that the walks have to meet; less changed ones are met more surely.
 
     * Every document is compared with every item, in blocks of ``block``
-      items; only items, a stated set of queries, are sent to the workers,
-      never anything of the documents. There is no shuffle.
+      items, ``AT_ONCE`` blocks a scan; only items, a stated set of queries,
+      are sent to the workers, never anything of the documents. There is no
+      shuffle.
     * Null and empty texts, and texts without a word, leak nothing. Copies of
       a document come out one by one; ids are taken to be unique.
     * Texts are read whole, however long.
@@ -422,17 +424,21 @@ def find_leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK, recal
     texts = items.where("item_id is not null and text is not null").select("item_id", "text")
     blocks = max(1, math.ceil(texts.count() / block))
     out = None
-    for b in range(blocks):
-        rows = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in sorted(rows)], recall))
+    for begin in range(0, blocks, AT_ONCE):
+        shared = []
+        for b in range(begin, min(begin + AT_ONCE, blocks)):
+            rows = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+            shared.append(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in sorted(rows)], recall)))
 
         def compare(batches, shared=shared):
-            index = shared.value
-            known = index.vocabulary.get
             for frame in batches:
                 frame = frame[frame["text"].notna()]
-                texts, keys = frame["text"].tolist(), frame["doc_id"].tolist()
-                got = [] if not index.items else list(index.leaks([[known(w, 0) for w in words(t)] for t in texts]))
+                keys, read = frame["doc_id"].tolist(), [words(t) for t in frame["text"]]
+                got = []
+                for index in (s.value for s in shared):
+                    if index.items:
+                        known = index.vocabulary.get
+                        got += index.leaks([[known(w, 0) for w in t] for t in read])
                 yield pd.DataFrame({"doc_id": [keys[n] for n, _, _ in got], "item_id": [i for _, i, _ in got], "share": [s for _, _, s in got]}).astype({"doc_id": "int64", "item_id": "int64", "share": "float64"})
 
         part = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(compare, "doc_id long, item_id long, share double")
