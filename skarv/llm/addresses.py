@@ -317,9 +317,8 @@ def locate(rows: DataFrame, key: str, address: str = "address", code: str | None
     houses = spelled.groupBy("place", "form", "stem", "kind").agg(F.count_distinct("number", "letter").alias("_houses"))
     # Spellings are compared as streets of a town, whatever houses they were written for.
     streets = houses.where("form = 'street'").select("place", "kind", "stem", "_houses")
-    once = streets.withColumn("_form", F.explode(_forms(F.col("stem"))))
-    twice = once.where(F.length("stem") >= TWO_SLIPS).withColumn("_form", F.explode(_forms(F.col("_form"))))
-    hashed = once.unionByName(twice).select("place", "kind", "stem", "_houses", F.xxhash64("place", "kind", "_form").alias("_hash")).distinct()
+    slips = F.when(F.length("stem") >= TWO_SLIPS, F.array_distinct(F.flatten(F.transform(_forms(F.col("stem")), _forms)))).otherwise(_forms(F.col("stem")))
+    hashed = streets.select("place", "kind", "stem", "_houses", F.explode(slips).alias("_form")).select("place", "kind", "stem", "_houses", F.xxhash64("place", "kind", "_form").alias("_hash"))
     a, b = hashed.alias("a"), hashed.alias("b")
     fewer, more = F.least("a._houses", "b._houses"), F.greatest("a._houses", "b._houses")
     two_streets = (fewer >= ESTABLISHED) & (fewer * OUTNUMBERED > more)
