@@ -109,13 +109,20 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, righ
 def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:
     """Each point with the ranges ``[start, end)`` that hold it.
 
-    Ranges are cut at multiples of ``width`` and joined by the number of the
-    slice, so that a point meets only the ranges of its slice; with ``width``
-    near the usual length of a range each is in two or three slices.
+    Ranges are cut at multiples of ``width``, longer ones at multiples of
+    twice, four times and so on the width, so that each is in two or three
+    slices however long it is. A point meets the ranges of its slice at each
+    length that occurs; how many lengths there are grows with the logarithm of
+    the longest range, and they are all that reaches the driver.
     """
-    slices = ranges.withColumn("_slice", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    held = points.withColumn("_slice", F.floor(F.col(point) / width)).join(slices, "_slice")
-    return held.where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_slice")
+    length = F.greatest(F.col(end) - F.col(start), F.lit(0)) / width
+    sized = ranges.where(F.col(start) < F.col(end)).withColumn("_level", F.when(length > 1, F.ceil(F.log2(length))).otherwise(F.lit(0)).cast("int"))
+    levels = sorted(r[0] for r in sized.select("_level").distinct().collect())
+    slice_of = lambda column, level: F.floor(column / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("long")
+    slices = sized.withColumn("_slice", F.explode(F.sequence(slice_of(F.col(start), F.col("_level")), slice_of(F.col(end), F.col("_level")))))
+    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_slice", slice_of(F.col(point), F.col("_level")))
+    held = placed.join(slices, ["_level", "_slice"])
+    return held.where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_level", "_slice")
 
 
 def suffix_join(rows: DataFrame, host: str, domains: DataFrame, domain: str, how: str = "left_anti") -> DataFrame:

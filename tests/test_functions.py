@@ -334,3 +334,14 @@ def test_lists_of_inputs_in_json(spark, tmp_path):
         got = readers.json_inputs(spark, str(tmp_path / name)).orderBy("position").collect()
         assert [(r.position, r.raw) for r in got] == [(0, "974760673"), (1, "1"), (2, '{"organisation_number":"x"}'), (3, None)]
         assert [r.organisation_number for r in readers.tolerant_inputs(readers.json_inputs(spark, str(tmp_path / name))).orderBy("position").collect()] == ["974760673", None, None, None]
+
+
+def test_ranges_of_very_different_lengths(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(i, rng.uniform(-1e6, 1e6)) for i in range(300)]
+    ranges = [(0, -1e6, 1e6), (1, 5.0, 5.0), (2, None, 3.0), (3, 9.0, 1.0), *((j, a, a + 10 ** rng.uniform(-2, 6)) for j, a in ((j, rng.uniform(-1e6, 1e6)) for j in range(4, 60)))]
+    got = relational.range_join(spark.createDataFrame(points, "i int, p double"), spark.createDataFrame(ranges, "j int, a double, b double"), "p", "a", "b", 7.0)
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, p in points for j, a, b in ranges if a is not None and a <= p < b)
+    assert relational.range_join(spark.createDataFrame(points, "i int, p double"), spark.createDataFrame([], "j int, a double, b double"), "p", "a", "b", 7.0).collect() == []
