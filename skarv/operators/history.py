@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skarv.functions.canon import canonical
 from skarv.functions.dates import any_day, iso_day, utc_day
-from skarv.session import cut, shared_dir
+from skarv.session import cut, release, shared_dir
 
 CHAIN = ("source_row_key", "field")
 VERSIONS = "source_row_key string, field string, value string, valid_from string, valid_to string"
@@ -105,6 +105,7 @@ def history_as_delivered(changes: DataFrame, late_days: int = 90) -> DataFrame:
     first = told.where("not _late").join(late, list(CHAIN), "left_anti")
     store.apply(first, first, build=chains_of)
     store.apply(told, late, build=chains_of)
+    release(told)
     return store.read()
 
 
