@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarv.llm.addresses import fold, locate, near, town_names
-from skarv.session import cut
+from skarv.session import cut, release
 
 #: Words of a name that tell no company from another.
 LEGAL_FORMS = frozenset("as asa ans da enk nuf sa sti stiftelsen iks ba ks kf sf og avd avdeling filial".split())
@@ -181,6 +181,7 @@ def _described(places: DataFrame, companies: DataFrame) -> tuple[DataFrame, Data
     kept = kept.select(F.lit("p").alias("side"), "key", F.col("title").alias("words"), "_kept")
     full = full.join(kept, ["side", "key", "words"], "left").select("key", F.coalesce("_kept", "words").alias("words"), "host", "location", "phone", "side")
     full = cut(full)
+    release(both)
     return full.where("side = 'p'").drop("side"), full.where("side = 'c'").drop("side")
 
 
